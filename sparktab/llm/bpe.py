@@ -14,6 +14,16 @@ import pyarrow as pa
 MEMO_PIECES = 1_200_000
 
 
+MARKS = frozenset(",.;:!?")
+
+
+def _byte_map() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary; 0 stays as a separator of words."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden) if b}
+
+
 class _Memo(dict):
     """Piece -> row of the id table; an unknown piece gets the next row and waits to be encoded."""
 
@@ -34,12 +44,15 @@ class Encoder:
 
     The byte-level pattern never joins what stands before a single space with what follows it, so
     a text without two spaces in a row is the sequence of its space-separated pieces, each but the
-    first with its space in front. Pieces repeat, so only new ones go through the library. A text
-    with two spaces in a row, or a tokenizer of another kind, is encoded as a whole.
+    first with its space in front. Pieces repeat, so only new ones go through the library. Words of
+    letters alone, with a mark after them or a line feed between them, are what the pattern would
+    split them into, and go to the library's merges directly. A text with two spaces in a row, or
+    a tokenizer of another kind, is encoded as a whole.
     """
 
     def __init__(self, path: str, memo_pieces: int = MEMO_PIECES):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -48,6 +61,9 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.split = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.limit = memo_pieces
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = WhitespaceSplit()  # no byte is shown as a space
+        self.byte_map = _byte_map()
         self._clear()
 
     def _clear(self) -> None:
@@ -57,16 +73,55 @@ class Encoder:
     def _learn(self, whole: list[str]) -> None:
         """Encodes the waiting pieces, then the whole texts, as further rows."""
         waiting, self.memo.waiting = self.memo.waiting, []
-        texts = [p[0] if isinstance(p, tuple) else " " + p for p in waiting] + whole
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        words: list[str] = []
+        odd: list[str] = []
+        plain = np.ones(len(waiting) + len(whole), np.int64)  # words of a piece; 0: it goes through the whole tokenizer
+        for i, piece in enumerate(waiting):
+            if type(piece) is str:
+                if piece.isalpha():
+                    words.append(" " + piece)
+                    continue
+                last = piece[-1:]
+                if last in MARKS and piece[:-1].isalpha():
+                    words += (" " + piece[:-1], last)
+                    plain[i] = 2
+                    continue
+                head, feed, tail = piece.partition(".\n")
+                if feed and head.isalpha() and tail.isalpha():
+                    words += (" " + head, ".", "\n", tail)
+                    plain[i] = 4
+                    continue
+                odd.append(" " + piece)
+            else:
+                odd.append(piece[0])
+            plain[i] = 0
+        plain[len(waiting) :] = 0
+        known, known_size = self._merged(words)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(odd + whole, add_special_tokens=False)]
+        size, begin = np.empty(len(plain), np.int64), np.empty(len(plain), np.int64)
+        ends = np.concatenate([[0], np.cumsum(known_size)])
+        stops = np.cumsum(plain)
+        size[plain > 0] = (ends[stops] - ends[stops - plain])[plain > 0]
+        begin[plain > 0] = ends[stops - plain][plain > 0]
+        size[plain == 0] = odd_size = np.fromiter(map(len, found), np.int64, len(found))
+        begin[plain == 0] = len(known) + np.cumsum(odd_size) - odd_size
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(odd_size.sum()))
+        self.begin = np.concatenate([self.begin, len(self.flat) + begin])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, flat])
+        self.flat = np.concatenate([self.flat, known, flat])
         self.memo.rows += len(whole)
 
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that the pattern would not split, and how many each has."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        shown = "\0".join(words).encode().decode("latin-1").translate(self.byte_map).split("\0")
+        groups = [" ".join(shown[i : i + 1_000]) for i in range(0, len(shown), 1_000)]
+        found = self.merges.encode_batch(groups, add_special_tokens=False)
+        flat = np.array(list(chain.from_iterable(e.ids for e in found)), np.uint32)
+        size = [np.bincount(np.array(e.word_ids, np.int64)) for e in found]
+        return flat, np.concatenate(size)
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (uint32), and the number of ids of each text."""
         if self.memo.rows > self.limit:

@@ -77,7 +77,7 @@ dup as (
   select doc_id, sum(c - 1) as n_dup_lines
   from (select doc_id, l, count(*) as c from line where regexp_matches(l, '{_WORD}') group by 1, 2) group by 1),
 base as (
-  select t.doc_id, source, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::bigint as word_chars,
+  select t.doc_id, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
     coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words
   from t left join dup using (doc_id) left join rep using (doc_id)),

@@ -10,8 +10,13 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
+from sparktab.llm.common import SPACED, Words
+
 #: Distinct pieces that a worker remembers; beyond that it starts anew.
-MEMO_PIECES = 1_200_000
+MEMO_PIECES = 3_000_000
+PIECES = np.ones_like(SPACED)
+PIECES[32] = False
+_FIRST = np.uint64(0x6C62272E07BB0142)
 
 
 MARKS = frozenset(",.;:!?")
@@ -24,19 +29,41 @@ def _byte_map() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden) if b}
 
 
-class _Memo(dict):
-    """Piece -> row of the id table; an unknown piece gets the next row and waits to be encoded."""
-
-    def __init__(self):
-        super().__init__()
-        self.waiting: list = []
-        self.rows = 0
-
-    def __missing__(self, piece):
-        self[piece] = row = self.rows
-        self.rows += 1
-        self.waiting.append(piece)
-        return row
+class _Memo:
+    """Piece hash -> row of the id table, as an open-addressed table that is probed by arrays."""
+
+    def __init__(self, limit: int):
+        size = 1 << max(10, (2 * limit).bit_length())
+        self.keys, self.rows = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+        self.mask, self.used = np.uint64(size - 1), 0
+
+    def get(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows, -1 for an unknown piece."""
+        out = np.full(len(hashes), -1, np.int64)
+        open_, at = None, hashes & self.mask
+        while len(at):
+            key, wanted = self.keys[at], hashes if open_ is None else hashes[open_]
+            hit = key == wanted
+            if open_ is None:
+                out[hit] = self.rows[at[hit]]
+                more = np.flatnonzero(~hit & (key != 0))
+                open_ = more
+            else:
+                out[open_[hit]] = self.rows[at[hit]]
+                more = np.flatnonzero(~hit & (key != 0))
+                open_ = open_[more]
+            at = (at[more] + np.uint64(1)) & self.mask
+        return out
+
+    def put(self, hashes: np.ndarray, rows: np.ndarray) -> None:
+        """Adds distinct pieces that are not known yet."""
+        at = hashes & self.mask
+        while len(hashes):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hashes[free]  # of several pieces for one place the last one stays
+            won = free & (self.keys[at] == hashes)
+            self.rows[at[won]] = rows[won]
+            hashes, rows, at = hashes[~won], rows[~won], (at[~won] + np.uint64(1)) & self.mask
 
 
 class Encoder:
@@ -67,12 +94,11 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.memo = _Memo()
+        self.memo = _Memo(self.limit)
         self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, whole: list[str]) -> None:
-        """Encodes the waiting pieces, then the whole texts, as further rows."""
-        waiting, self.memo.waiting = self.memo.waiting, []
+    def _learn(self, waiting: list, whole: list[str]) -> None:
+        """Encodes pieces (a 1-tuple: the first of its text), then whole texts, as further rows."""
         words: list[str] = []
         odd: list[str] = []
         plain = np.ones(len(waiting) + len(whole), np.int64)  # words of a piece; 0: it goes through the whole tokenizer
@@ -109,7 +135,6 @@ class Encoder:
         self.begin = np.concatenate([self.begin, len(self.flat) + begin])
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, known, flat])
-        self.memo.rows += len(whole)
 
     def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words that the pattern would not split, and how many each has."""
@@ -122,39 +147,56 @@ class Encoder:
         size = [np.bincount(np.array(e.word_ids, np.int64)) for e in found]
         return flat, np.concatenate(size)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other (uint32), and the number of ids of each text."""
-        if self.memo.rows > self.limit:
+    def encode(self, texts: pa.Array | list) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other (uint32), and the number of ids of each text; null counts as empty."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.large_string())
+        if len(self.size) > self.limit:
             self._clear()
-        keys: list = []
-        many = np.zeros(len(texts), np.int64)
-        whole: list[str] = []
-        whole_at: list[int] = []
-        for i, text in enumerate(texts):
-            text = text or ""
-            if not self.split or "  " in text:
-                whole_at.append(len(keys))
-                keys.append(None)
-                whole.append(text)
-                many[i] = 1
-                continue
-            parts = text.split(" ")
-            parts[0] = (parts[0],)
-            keys += parts
-            many[i] = len(parts)
-        get = self.memo.__getitem__
-        if whole:
-            rows = np.fromiter((-1 if k is None else get(k) for k in keys), np.int64, len(keys))
-            rows[whole_at] = self.memo.rows + np.arange(len(whole))
-        else:
-            rows = np.fromiter(map(get, keys), np.int64, len(keys))
-        if self.memo.waiting or whole:
-            self._learn(whole)
-        size = self.size[rows]
+        words = Words(texts, PIECES, lower=False)
+        n, known = len(words.counts), len(self.size)
+        # texts with a space at an end or beside another one are encoded as a whole
+        space = np.flatnonzero(~words.inside)
+        home = np.searchsorted(words.off, space, "right") - 1
+        lonely = (space > words.off[home]) & (space < words.off[home + 1] - 1)
+        lonely[1:] &= (space[1:] != space[:-1] + 1) | (home[1:] != home[:-1])
+        whole = np.zeros(n, bool)
+        whole[home[~lonely]] = True
+        if not self.split:
+            whole = np.diff(words.off) > 0
+        mine = ~np.repeat(whole, words.counts)
+        hashes = words.hashes()
+        first = words.ptr[:-1][words.counts > 0]
+        hashes[first] ^= _FIRST
+        at = np.flatnonzero(mine)
+        rows = np.full(len(hashes), -1, np.int64)
+        rows[at] = self.memo.get(hashes[at])
+        new = at[rows[at] < 0]
+        raw = words.data
+        waiting = []
+        if len(new):
+            keys, where, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+            rows[new] = known + back
+            leads = np.zeros(len(hashes), bool)
+            leads[first] = True
+            begins, ends = words.starts[new[where]].tolist(), words.ends[new[where]].tolist()
+            waiting = [(p,) if lead else p for p, lead in zip((raw[a:b].tobytes().decode() for a, b in zip(begins, ends, strict=True)), leads[new[where]].tolist(), strict=True)]
+            self.memo.put(keys, known + np.arange(len(keys)))
+        odd = np.flatnonzero(whole)
+        if len(waiting) or len(odd):
+            self._learn(waiting, [raw[words.off[i] : words.off[i + 1]].tobytes().decode() for i in odd.tolist()])
+        # one row for each piece, and one for each whole text
+        many = np.where(whole, 1, words.counts)
+        stops = np.concatenate([[0], np.cumsum(many)])
+        used = np.empty(int(stops[-1]), np.int64)
+        lone = np.zeros(len(used), bool)
+        lone[stops[:-1][whole]] = True
+        used[lone] = known + len(waiting) + np.arange(len(odd))
+        used[~lone] = rows[mine]
+        size = self.size[used]
         ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.begin[rows] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(many)])]
-        return ids, np.diff(stops)
+        ids = self.flat[np.repeat(self.begin[used] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.diff(np.concatenate([[0], ends])[stops])
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
@@ -180,7 +222,7 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
 def encoded(parts: Iterator[pa.RecordBatch], column: int, path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     tool = encoder(path)
     for part in parts:
-        yield (part, *with_end(*tool.encode(part.column(column).to_pylist()), end_id))
+        yield (part, *with_end(*tool.encode(part.column(column)), end_id))
 
 
 def crc32s(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

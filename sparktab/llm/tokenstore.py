@@ -35,7 +35,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             ptr = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.record_batch([part.column(0), pa.array(counts), pa.ListArray.from_arrays(pa.array(ptr), pa.array(ids.view(np.int32)))], names=[id_col, "n_tokens", "ids"])
 
-    rows = without_clashes(docs, id_col, text_col).toDF("id", "text").repartitionByRange(parts, "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
+    rows = without_clashes(docs, id_col, text_col).toDF("id", "text").repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
     made = rows.mapInArrow(task, f"`{id_col}` {kind}, n_tokens long, ids array<int>")
     options = {"orc.bloom.filter.columns": id_col, "orc.bloom.filter.fpp": str(BLOOM_FPP), "orc.row.index.stride": str(INDEX_ROWS), "orc.stripe.size": str(STRIPE_BYTES), "orc.compress": "ZSTD"}
     made.write.options(**options).orc(path)

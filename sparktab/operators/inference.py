@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from enum import Enum
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -146,26 +148,22 @@ def TimeField(precision: str = "any", threshold: float = 0.8) -> Field:
     return Field("time", parse, threshold, precision)
 
 
-def JsonField(threshold: float = 0.8) -> Field:
-    """A JSON document, kept as text; JSON null and trailing tokens are invalid. Checked by an Arrow-batched function."""
-
-    def parse(c: Column) -> Column:
-        import pandas as pd
+def _valid_json(s: pd.Series) -> pd.Series:
+    def one(v):
+        try:
+            return v is not None and json.loads(v) is not None
+        except ValueError:
+            return False
 
-        @F.pandas_udf("boolean")
-        def valid(s: pd.Series) -> pd.Series:
-            import json
+    return s.map(one)
 
-            def one(v):
-                try:
-                    return v is not None and json.loads(v) is not None
-                except ValueError:
-                    return False
 
-            return s.map(one)
+def JsonField(threshold: float = 0.8) -> Field:
+    """A JSON document, kept as text; JSON null and trailing tokens are invalid. Checked by an Arrow-batched function."""
 
+    def parse(c: Column) -> Column:
         t = trim(c)
-        return F.when(valid(t), t)
+        return F.when(F.pandas_udf(_valid_json, "boolean")(t), t)
 
     return Field("json", parse, threshold)
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from sparktab.llm.common import SPACED, Words
 
 #: Distinct pieces that a worker remembers; beyond that it starts anew.
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 500_000
 PIECES = np.ones_like(SPACED)
 PIECES[32] = False
 _FIRST = np.uint64(0x6C62272E07BB0142)

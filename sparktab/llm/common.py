@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows that may be broadcast as ids; a larger side is joined by shuffle.
 BROADCAST_IDS = 1_000_000
 

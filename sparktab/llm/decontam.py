@@ -130,7 +130,7 @@ def _hits(docs: DataFrame, test, window: int) -> DataFrame:
 
     def task(batches):
         test = shared.value
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 2 << 20):
             words = Words(part.column(at), ALNUM)
             place, window_no = search(words, test)
             spans, items = [[]] * part.num_rows, [[]] * part.num_rows

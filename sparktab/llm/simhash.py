@@ -5,7 +5,7 @@ between such a pair, so the shared masked pattern of two blocks is the upper nod
 a mask, a value and the fingerprints below it, in Gray order. Within a node, runs of neighbours in
 Gray order share further patterns, which form the lower nodes; a search carries the differences
 met so far and drops a whole node once they exceed the limit. A node with very many fingerprints
-is not searched by one task but divided again by the bits that it has not fixed yet.
+is not searched by one task: its fingerprints are searched for in chunks, one task for each.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from sparktab.llm.components import components
 
 SHINGLE = 4
 MAX_BITS = 4
-#: A node of more fingerprints than this is divided again rather than searched by one task.
+#: A node of more fingerprints than this is searched by several tasks.
 HOT_NODE = 16_384
 FANOUT = 8
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -76,13 +76,6 @@ def top_masks(blocks: int = 6) -> list[int]:
     return [sum(c) for c in combinations(parts, blocks - MAX_BITS)]
 
 
-def finer_masks(mask: int) -> list[int]:
-    """Masks that fix one more fifth of the free bits each; a linked pair agrees on at least one fifth."""
-    free = [i for i in range(64) if not mask >> i & 1]
-    edges = [round(len(free) * i / (MAX_BITS + 1)) for i in range(MAX_BITS + 2)]
-    return [mask | sum(1 << i for i in free[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-
-
 class GrayIndex:
     """Hierarchical index over fingerprints in (group, Gray) order, with one root for each group."""
 
@@ -103,7 +96,6 @@ class GrayIndex:
             up_mask = ~apart
             self.levels.append((value, mask & ~up_mask[parent], np.append(at, len(value))))
             value, mask, group = value[at] & up_mask, up_mask, group[at]
-        self.root_of = None
 
     def pairs(self, query: np.ndarray, root: np.ndarray, limit: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
         """Leaves (query, other), other > query, at no more than `limit` differing bits."""
@@ -137,72 +129,89 @@ def local_labels(n: int, u: np.ndarray, v: np.ndarray, label: np.ndarray | None
     return label
 
 
-def _search(mask: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of all nodes in a run of rows sorted by node and Gray rank."""
-    key = fps & mask
-    first = np.concatenate([[True], (key[1:] != key[:-1]) | (mask[1:] != mask[:-1])])
-    begin = np.flatnonzero(first)
-    sizes = np.diff(np.append(begin, len(fps)))
-    keep = np.repeat(sizes > 1, sizes)
-    fps, group = fps[keep], np.repeat(np.arange(len(sizes)), sizes)[keep]
-    if not len(fps):
-        return fps, fps
-    root = np.unique(group, return_inverse=True)[1]
+def _search(fps: np.ndarray, root: np.ndarray, load: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of the leaves lo to hi with later leaves of their node. load: leaves in the node of each leaf."""
     index, label = GrayIndex(fps, root), np.arange(len(fps))
-    load = np.cumsum(np.repeat(sizes[sizes > 1], sizes[sizes > 1]))
-    at = 0
-    while at < len(fps):
-        to = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + 2_000_000, "right")))
+    sums = np.cumsum(load)
+    at = lo
+    while at < hi:
+        to = min(hi, max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + 2_000_000, "right"))))
         label = local_labels(len(fps), *index.pairs(np.arange(at, to), root[at:to]), label)
         at = to
     moved = np.flatnonzero(label != np.arange(len(fps)))
     return fps[moved], fps[label[moved]]
 
 
-def _node_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (mask, fp) sorted by node: links out, and the rows of a node too large, by finer masks."""
-    schema = pa.schema([("mask", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
-
-    def links(mask, fps):
-        u, v = _search(mask, fps)
-        return pa.record_batch([pa.array(np.zeros(len(u), np.int64)), pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=schema)
-
-    def finer(mask, fps):
-        free = 64 - int(mask[0]).bit_count()
-        if free <= MAX_BITS:
-            yield pa.record_batch([pa.array(np.zeros(len(fps) - 1, np.int64)), pa.array(fps[1:].view(np.int64)), pa.array(np.full(len(fps) - 1, fps[0]).view(np.int64))], schema=schema)
-            return
-        for m in finer_masks(int(mask[0])):
-            yield pa.record_batch([pa.array(np.full(len(fps), m, np.uint64).view(np.int64)), pa.array(fps.view(np.int64)), pa.array(fps.view(np.int64))], schema=schema)
-
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def flush(last: bool):
-        nonlocal held, size
-        if not held:
-            return
-        mask, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-        key = fps & mask
-        begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (mask[1:] != mask[:-1])]))
-        cut = len(fps) if last else int(begin[-1])
-        held, size = ([(mask[cut:], fps[cut:])] if cut < len(fps) else []), len(fps) - cut
-        ends = np.append(begin, len(fps))
-        cold = np.ones(cut, bool)
-        for a, b in zip(ends[:-1], ends[1:], strict=True):
-            if b - a > HOT_NODE and b <= cut:
-                cold[a:b] = False
-                yield from finer(mask[a:b], fps[a:b])
-        if cold.any():
-            yield links(mask[:cut][cold], fps[:cut][cold])
+_OUT = pa.schema([("mask", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
+
+
+def _rows(mask, u, v) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.asarray(x).view(np.int64)) for x in (mask, u, v)], schema=_OUT)
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Begins of the runs of equal rows, and the end."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    new[:1] = True
+    return np.append(np.flatnonzero(new), len(new))
+
+
+def _complete(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of whole nodes and the runs of the nodes; the last column is the fingerprint, the others name the node."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+
+    def joined():
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        key = columns[-1] & columns[0]
+        return columns, _runs(*columns[:-1], key)
 
     for batch in batches:
-        if batch.num_rows:
-            held.append((batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            size += batch.num_rows
-            if size > 200_000:
-                yield from flush(False)
-    yield from flush(True)
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns])
+        rows += batch.num_rows
+        if rows > size:
+            columns, runs = joined()
+            cut = int(runs[-2])
+            if cut:
+                yield [c[:cut] for c in columns], runs[:-1]
+            held, rows = [[c[cut:] for c in columns]], len(columns[0]) - cut
+    if held:
+        yield joined()
+
+
+def _node_task(hot: int):
+    """Rows (mask, fp) by node and Gray rank: links (mask 0), and (mask, value, size) of a node too large for one task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (mask, fps), runs in _complete(batches, 200_000):
+            sizes = np.diff(runs)
+            large = np.flatnonzero(sizes > hot)
+            if len(large):
+                yield _rows(mask[runs[large]], fps[runs[large]] & mask[runs[large]], sizes[large])
+            keep = np.repeat((sizes > 1) & (sizes <= hot), sizes)
+            if keep.any():
+                root = np.unique(np.repeat(np.arange(len(sizes)), sizes)[keep], return_inverse=True)[1]
+                u, v = _search(fps[keep], root, np.repeat(sizes, sizes)[keep], 0, int(keep.sum()))
+                yield _rows(np.zeros(len(u), np.uint64), u, v)
+
+    return task
+
+
+def _chunk_task(hot: int):
+    """Rows (mask, chunk, fp): the whole node, of which this chunk's leaves are searched for."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, chunk, fps), runs in _complete(batches, 1):
+            for a, b in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
+                n, lo = b - a, int(chunk[a]) * hot
+                u, v = _search(fps[a:b], np.zeros(n, np.int64), np.full(n, n), lo, min(lo + hot, n))
+                yield _rows(np.zeros(len(u), np.uint64), u, v)
+
+    return task
 
 
 def _gray_sort_key(fp):
@@ -212,20 +221,23 @@ def _gray_sort_key(fp):
     return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
-    """Links (u, v) that span every component of distinct fingerprints (column fp, long)."""
+def fingerprint_links(fps: DataFrame, hot: int = HOT_NODE) -> DataFrame:
+    """Links (u, v) that span every component of distinct fingerprints (column fp, long).
+
+    A node of more than `hot` fingerprints goes to as many tasks as it has chunks of that size:
+    each holds the node's fingerprints and searches for those of its chunk.
+    """
     signed = [m - (1 << 64) if m >> 63 else m for m in top_masks()]
-    rows = fps.select(F.explode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("mask"), "fp")
-    found = None
-    while True:
-        dealt = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).repartition("mask", "key")
-        ordered = dealt.sortWithinPartitions("mask", "key", _gray_sort_key(F.col("fp"))).select("mask", "fp")
-        made = materialize(ordered.mapInArrow(_node_task, "mask long, u long, v long"), "nodes")
-        links = made.where("mask = 0").select("u", "v")
-        found = links if found is None else found.unionByName(links)
-        rows = made.where("mask <> 0").select("mask", F.col("u").alias("fp"))
-        if rows.isEmpty():
-            return found
+    rows = fps.select(F.explode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("mask"), "fp").withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    rank, out = _gray_sort_key(F.col("fp")), "mask long, u long, v long"
+    made = materialize(rows.repartition("mask", "key").sortWithinPartitions("mask", "key", rank).select("mask", "fp").mapInArrow(_node_task(hot), out), "nodes")
+    links, large = made.where("mask = 0").select("u", "v"), made.where("mask <> 0")
+    if large.isEmpty():
+        return links
+    large = large.select("mask", F.col("u").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("v") - 1) / hot))).alias("chunk"))
+    spread = rows.join(large, ["mask", "key"]).repartition("mask", "key", "chunk").sortWithinPartitions("mask", "key", "chunk", rank)
+    more = materialize(spread.select("mask", "chunk", "fp").mapInArrow(_chunk_task(hot), out), "chunks")
+    return links.unionByName(more.select("u", "v"))
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

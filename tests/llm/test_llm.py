@@ -106,26 +106,19 @@ def test_simhash_is_brute_force(table, request):
     assert got == want
 
 
-def test_hot_nodes_are_divided_without_loss(monkeypatch):
-    monkeypatch.setattr(simhash, "HOT_NODE", 50)
+def test_hot_nodes_are_searched_in_chunks_without_loss(spark):
     r = np.random.default_rng(3)
     center = int(r.integers(0, 2**63))
     fps = sorted({center ^ sum(1 << int(b) for b in r.choice(30, r.integers(0, 9), replace=False)) for _ in range(700)} | {int(x) for x in r.integers(0, 2**63, 200)})
-    rows = [(m, f) for m in simhash.top_masks() for f in fps]
-    links, rounds = [], 0
-    while rows:
-        rows.sort(key=lambda x: (x[0], x[1] & x[0], int(simhash.gray_rank(np.array([x[1]], np.uint64))[0])))
-        to = lambda k: pa.array(np.array([x[k] for x in rows], np.uint64).view(np.int64))
-        out = [b for b in simhash._node_task(iter([pa.record_batch([to(0), to(1)], names=["mask", "fp"])]))]
-        found = [x for b in out for x in zip(*(np.asarray(b.column(i)).view(np.uint64).tolist() for i in range(3)), strict=True)]
-        links += [(u, v) for m, u, v in found if m == 0]
-        rows, rounds = [(m, u) for m, u, _ in found if m], rounds + 1
-    assert rounds > 2
-    assert all((u ^ v).bit_count() <= 4 for u, v in [])
+    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"), hot=50).collect()
+    assert all((u ^ v) >= 0 for u, v in links)
     at = {f: i for i, f in enumerate(fps)}
     label = simhash.local_labels(len(fps), np.array([at[u] for u, _ in links]), np.array([at[v] for _, v in links]))
     root = brute_components(fps)
-    assert len(set(label.tolist())) == len(set(root.values()))
+    groups = {}
+    for f, x in zip(fps, label.tolist(), strict=True):
+        groups.setdefault(x, set()).add(root[f])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(root.values()))
 
 
 def test_components_of_a_chain(spark):

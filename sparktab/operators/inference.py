@@ -332,7 +332,7 @@ class Inspector:
         for i, n in enumerate(table.columns):
             c = F.col(f"`{n}`").cast("string")
             parts.append(F.sum((blank_to_null(c).isNotNull()).cast("int")).alias(f"n{i}"))
-            parts += [F.sum(f.evaluate(c)).alias(f"s{i}_{k}") for k, f in enumerate(self.fields)]
+            parts += [F.count_if(f.evaluate(c) == 1).alias(f"s{i}_{k}") for k, f in enumerate(self.fields)]
             parts.append(F.bool_and(F.coalesce(blank_to_null(c).rlike(INTEGER), F.lit(True))).alias(f"i{i}"))
         row = sample.agg(*parts).first()
         return {n: [row[f"n{i}"] or 0, bool(row[f"i{i}"]), *[row[f"s{i}_{k}"] or 0 for k in range(len(self.fields))]] for i, n in enumerate(table.columns)}
@@ -342,7 +342,7 @@ class Inspector:
         for n, (filled, whole, *sums) in self.scores(table).items():
             # the best score wins, ties by the order of fields; then its threshold must be met
             ranked = sorted(((-s / filled, k) for k, s in enumerate(sums)), key=lambda x: x) if filled else []
-            chosen = next((self.fields.fields[k] for s, k in ranked if -s >= self.fields.fields[k].threshold and -s > 0), None)
+            chosen = next((self.fields.fields[k] for s, k in ranked if -s >= self.fields.fields[k].threshold), None)
             chosen = chosen or StringField()
             if chosen.type == "numeric" and whole:
                 chosen = NumericField(chosen.metadata.get("min"), chosen.metadata.get("max"), chosen.threshold, as_long=True)

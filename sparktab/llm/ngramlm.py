@@ -1,10 +1,11 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-Counts of words, of pairs and of triples are taken over all training texts. The trie keeps the
-words, pairs and triples that make up at least `share` of the training tokens, so it has at most
-1 / share entries a level whatever the corpus; what it leaves out is scored through the backoffs,
-down to the add-one unigram with the word's exact count. Those exact counts of all words, rare
-ones too, are not broadcast: each partition of documents gets a table of just the words it has.
+Counts of words, of pairs and of triples are taken over all training texts. With N training tokens
+the trie keeps the words, pairs and triples that occur at least sqrt(N) / `density` times. So it
+grows with the corpus, and a level has at most density * sqrt(N) entries, few enough for one file
+that every worker maps. What it leaves out is scored through the backoffs, down to the add-one
+unigram with the word's exact count. Those exact counts of all words, rare ones too, are not
+broadcast: each partition of documents gets a table of just the words it has.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from sparktab.llm.common import Words, materialize, remainder, segment_sums, shared_dir, slices, without_clashes
 from sparktab.llm.eliasfano import Trie, build_trie
 
-SHARE = 2e-6
+DENSITY = 100.0
 DISCOUNT = 0.75
 #: The end of a text as a word hash.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -136,12 +137,12 @@ def _contexts(ids: np.ndarray, ptr: np.ndarray, start: int) -> tuple[np.ndarray,
     return one, two
 
 
-def train(rows: DataFrame, words: DataFrame, share: float = SHARE, discount: float = DISCOUNT) -> tuple[Trie, int, int]:
-    """(trie, training tokens, distinct training tokens); each level has at most 1 / share entries."""
+def train(rows: DataFrame, words: DataFrame, density: float = DENSITY, discount: float = DISCOUNT) -> tuple[Trie, int, int]:
+    """(trie, training tokens N, distinct training tokens); each level has at most density * sqrt(N) entries."""
     spark = rows.sparkSession
     total, distinct = words.agg(F.sum("own"), F.sum((F.col("head") & (F.col("total") > 0)).cast("long"))).first()
     total, distinct = total or 0, distinct or 0
-    least = max(1, math.ceil(share * total))
+    least = max(1, math.ceil(math.sqrt(total) / density))
     kept = words.where(F.col("head") & (F.col("total") >= least)).select("word", "total").toArrow()
     keys = kept.column("word").to_numpy().view(np.uint64)
     order = np.argsort(keys)
@@ -231,7 +232,7 @@ def _own_words(path: str, part: int) -> tuple[np.ndarray, np.ndarray]:
     return words[order], totals[order]
 
 
-def lm_scores(docs: DataFrame, held: object, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, discount: float = DISCOUNT) -> DataFrame:
+def lm_scores(docs: DataFrame, held: object, id_col: str = "doc_id", text_col: str = "text", density: float = DENSITY, discount: float = DISCOUNT) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     held: boolean expression; rows for which it is true are scored but teach nothing. A null text
@@ -246,7 +247,7 @@ def lm_scores(docs: DataFrame, held: object, id_col: str = "doc_id", text_col: s
         rows = materialize(rows, "rows")
     base = shared_dir(spark)
     words = word_tables(rows, f"{base}/words")
-    trie, total, distinct = train(rows, words, share, discount)
+    trie, total, distinct = train(rows, words, density, discount)
     system, local = _filesystem(f"{base}/trie")
     with system.open_output_stream(local) as f:
         f.write(trie.to_bytes())

@@ -297,6 +297,28 @@ def test_longest_matches_are_maximal():
     assert (row, at, n, item) == (1, 2, 70, 0)
 
 
+def test_passage_that_many_documents_share(spark):
+    rows = [(i, prose(30, 100 + i) + " " + PASSAGE + " " + prose(30, 500 + i)) for i in range(60)]
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1, 60))
+    assert all(r.first_id < r.doc_id and r.start_word <= 30 and r.end_word >= 100 for r in got)
+    windows = spark.createDataFrame([(i, PASSAGE) for i in range(40)], "id long, text string").repartition(1)
+    met = substring.matched_windows(windows).collect()
+    assert {r.id for r in met} == set(range(40)) and {r["first"] for r in met} == {0}
+
+
+def test_trie_grows_with_the_corpus(spark):
+    sizes = []
+    for n in (60, 600):
+        rows = [(i, " ".join(random.Random(i).choice(VOCAB) for _ in range(40))) for i in range(n)]
+        df = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "text", "false as held")
+        words = ngramlm.word_tables(df, f"{ngramlm.shared_dir(spark)}/words")
+        trie, total, _ = ngramlm.train(df, words)
+        assert total == 41 * n and trie.two.words.n <= ngramlm.DENSITY * math.sqrt(total)
+        sizes.append(trie.two.words.n)
+    assert sizes[1] > 2 * sizes[0]
+
+
 def test_decontamination_keeps_clean_documents_and_columns(docs, bench):
     out = decontam.decontaminate(docs, bench)
     assert out.columns == docs.columns

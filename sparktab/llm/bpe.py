@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from sparktab.llm.common import SPACED, Words
+from sparktab.llm.common import SPACED, WORKER_CACHE, Words
 
 #: Distinct pieces that a worker remembers; beyond that it starts anew.
 MEMO_PIECES = 500_000
@@ -199,14 +199,12 @@ class Encoder:
         return ids, np.diff(np.concatenate([[0], ends])[stops])
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
-
-
 def encoder(path: str, memo_pieces: int = MEMO_PIECES) -> Encoder:
     """One encoder for each worker process."""
-    if (path, memo_pieces) not in _ENCODERS:
-        _ENCODERS[path, memo_pieces] = Encoder(path, memo_pieces)
-    return _ENCODERS[path, memo_pieces]
+    key = (path, memo_pieces)
+    if key not in WORKER_CACHE:
+        WORKER_CACHE[key] = Encoder(path, memo_pieces)
+    return WORKER_CACHE[key]
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Rows that may be broadcast as ids; a larger side is joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: What a Python worker keeps from task to task; dropped by the first task that does not use it.
+WORKER_CACHE: dict = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,8 +65,25 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row ranges of about `size` bytes of text, so that memory depends on the longest text only."""
+def give_back(cache: bool = True) -> None:
+    """Returns memory to the system that earlier tasks of this worker freed, and what they cached.
+
+    Spark reuses workers, so without it every stage of a long job adds to what they hold.
+    """
+    if cache:
+        WORKER_CACHE.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES, cached: bool = False) -> Iterator[pa.RecordBatch]:
+    """Row ranges of about `size` bytes of text, so that memory depends on the longest text only.
+
+    `cached`: the task uses WORKER_CACHE, which is dropped otherwise.
+    """
+    give_back(not cached)
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -73,6 +93,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYT
             to = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    give_back(not cached)
 
 
 def _byte_class(separators: bytes) -> np.ndarray:

@@ -88,7 +88,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE, end_id:
 
     def pieces(batches):
         part_no, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for part, ids, counts in encoded(slices(batches, "text"), 1, tokenizer_path, end_id):
+        for part, ids, counts in encoded(slices(batches, "text", cached=True), 1, tokenizer_path, end_id):
             owner, piece, start, length = cut(counts, capacity)
             at = (np.cumsum(counts) - counts)[owner] + start
             order = np.argsort(length, kind="stable")

@@ -31,7 +31,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def task(batches):
-        for part, ids, counts in encoded(slices(batches, "text"), 1, tokenizer_path, end_id):
+        for part, ids, counts in encoded(slices(batches, "text", cached=True), 1, tokenizer_path, end_id):
             ptr = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.record_batch([part.column(0), pa.array(counts), pa.ListArray.from_arrays(pa.array(ptr), pa.array(ids.view(np.int32)))], names=[id_col, "n_tokens", "ids"])
 

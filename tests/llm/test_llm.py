@@ -269,6 +269,24 @@ def test_near_repeat_is_found_and_cut(spark):
     assert set(left) == {1, 2} and left[1].n_chars == 7 and left[2].n_chars == len(left[2].text) and left[2].text.startswith(prose(80, 12))
 
 
+def test_short_near_repeats_are_found(spark):
+    r = random.Random(17)
+    fresh = lambda n: [f"{r.getrandbits(28):07x}" for _ in range(n)]
+    rows, kinds = [], {}
+    for size, changed in itertools.product((51, 55, 60), (1, 2, 5)):
+        for _ in range(200):
+            passage, i = fresh(size), 2 * len(kinds)
+            middle = size // 2 - changed // 2
+            copy = passage[:middle] + fresh(changed) + passage[middle + changed :]
+            texts = [" ".join(fresh(r.randint(60, 150)) + x + fresh(r.randint(60, 150))) for x in (passage, copy)]
+            hashes, ptr = substring.shingle_hashes(substring.Words(pa.array(texts, pa.large_string())))
+            kinds[i + 1] = (size, changed) if substring.repeats(hashes[ptr[1] :], [(i, hashes[: ptr[1]])], 46, 5, 0.8) else None
+            rows += [(i, texts[0]), (i + 1, texts[1])]
+    got = {x.doc_id for x in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    wanted, found = Counter(kinds.values()), Counter(kinds[i] for i in got)
+    assert all(wanted[k] >= 190 and found[k] >= 0.99 * wanted[k] for k in wanted if k) and None not in found
+
+
 def brute_hits(text, items):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     words, hit, which = split(text), set(), set()

@@ -1,11 +1,13 @@
-"""Language-model scores from an Elias-Fano n-gram trie.
-
-Counts of words, of pairs and of triples are taken over all training texts. With N training tokens
-the trie keeps the words, pairs and triples that occur at least sqrt(N) / `density` times. So it
-grows with the corpus, and a level has at most density * sqrt(N) entries, few enough for one file
-that every worker maps. What it leaves out is scored through the backoffs, down to the add-one
-unigram with the word's exact count. Those exact counts of all words, rare ones too, are not
-broadcast: each partition of documents gets a table of just the words it has.
+"""Language-model scores from Elias-Fano n-gram levels.
+
+Counts of words, of pairs and of triples are taken over all training texts, and none is left out for
+being rare. No file holds all of them: each partition of documents gets the words, pairs and triples
+it has, with their counts over all training texts and what their contexts leave to the lower order,
+and puts their keys into Elias-Fano sequences of its own. So memory depends on the size of a
+partition, not on that of the corpus.
+
+`train` builds one trie for a driver, of the n-grams that occur at least sqrt(N) / `density` times in N
+training tokens; scores do not use it.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktab.llm.common import Words, materialize, remainder, segment_sums, shared_dir, slices, without_clashes
-from sparktab.llm.eliasfano import Trie, build_trie
+from sparktab.llm.common import Words, materialize, mix, remainder, segment_sums, shared_dir, slices, without_clashes
+from sparktab.llm.eliasfano import EliasFano, Trie, build_trie
 
 DENSITY = 100.0
 DISCOUNT = 0.75
 #: The end of a text as a word hash.
 END = np.uint64(0x5851F42D4C957F2D)
+#: The start of a text, which is only a context.
+START = np.uint64(0x14057B7EF767814F)
 _HELD = 1 << 20
 
 
@@ -184,55 +188,150 @@ def train(rows: DataFrame, words: DataFrame, density: float = DENSITY, discount:
     return trie, total, distinct
 
 
-def score_tokens(trie: Trie, ids: np.ndarray, ptr: np.ndarray, p1: np.ndarray) -> np.ndarray:
-    """log10 probability of every token after the two before it. ids: -1 for a word that is not in the trie."""
-    one, two = _contexts(ids, ptr, trie.start)
-    out = np.log10(p1)
-    backed = one >= 0
-    out[backed] += trie.value("b1", one[backed])
-    pair = np.full(len(ids), -1)
-    ok = np.flatnonzero((ids >= 0) & backed)
-    pair[ok] = trie.two.find(one[ok], ids[ok])
-    hit = pair >= 0
-    out[hit] = trie.value("p2", pair[hit])
-    # the pair before this token, as a context
-    before = np.concatenate([[-1], pair[:-1]])
-    before[ptr[:-1]] = -1
-    has = np.flatnonzero(before >= 0)
-    out[has] += trie.value("b2", before[has])
-    ok = has[ids[has] >= 0]
-    triple = trie.three.find(before[ok], ids[ok])
-    ok, triple = ok[triple >= 0], triple[triple >= 0]
-    out[ok] = trie.value("p3", triple)
-    return out
+def _ngrams(tokens: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token the word before it (or START), the key of the pair and the key of the triple it ends.
 
+    Triples begin with the second token of a text; the first one's is that of no triple that is looked up.
+    """
+    one = np.concatenate([[START], tokens[:-1]])
+    one[ptr[:-1]] = START
+    pair = mix(one * np.uint64(0x9E3779B97F4A7C15) + tokens)
+    before = np.concatenate([[START], pair[:-1]])
+    return one, pair, mix(before * np.uint64(0xD1342543DE82EF95) + tokens)
 
-def _open_trie(path: str) -> Trie:
-    system, local = _filesystem(path)
-    if system.type_name == "local":
-        return Trie.from_buffer(pa.memory_map(local).read_buffer())
-    with system.open_input_file(local) as f:
-        return Trie.from_buffer(f.read_buffer())
 
+def _level_rows(rows: DataFrame, level: int) -> DataFrame:
+    """(part, key, context, own): words, pairs or triples of each partition, with their training counts there."""
 
-def _own_words(path: str, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted words and totals of a partition's table."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
+    def task(batches):
+        part_no, held, waiting = TaskContext.get().partitionId(), [], 0
 
-    system, local = _filesystem(path)
-    found = [f.path for f in system.get_file_info(fs.FileSelector(f"{local}/part={part}", allow_not_found=True)) if f.path.endswith(".parquet")]
-    words, totals = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for name in found:
-        table = pq.ParquetFile(system.open_input_file(name)).read(["word", "total"])
-        words.append(table.column("word").to_numpy().view(np.uint64))
-        totals.append(table.column("total").to_numpy())
-    words, totals = np.concatenate(words), np.concatenate(totals)
-    order = np.argsort(words)
-    return words[order], totals[order]
+        def merged():
+            keys, contexts, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            return keys[first], contexts[order][first], np.add.reduceat(counts[order], first)
+
+        for part in slices(batches, "text"):
+            tokens, ptr = _tokens(part.column(1))
+            taught = ~part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            train = np.repeat(taught, np.diff(ptr)).astype(np.int64)
+            one, pair, triple = _ngrams(tokens, ptr)
+            if level == 1:
+                keys, contexts, counts = np.append(tokens, START), np.zeros(len(tokens) + 1, np.uint64), np.append(train, taught.sum())
+            elif level == 2:
+                keys, contexts, counts = pair, one, train
+            else:
+                inner = np.ones(len(tokens), bool)
+                inner[ptr[:-1]] = False
+                at = np.flatnonzero(inner)
+                keys, contexts, counts = triple[at], pair[at - 1], train[at]
+            if not len(keys):
+                continue
+            held.append((keys, contexts, counts))
+            waiting += len(keys)
+            if waiting > _HELD:
+                held, waiting = [merged()], 0
+        if held:
+            keys, contexts, counts = merged()
+            for at in range(0, len(keys), _HELD):
+                k, c, n = keys[at : at + _HELD], contexts[at : at + _HELD], counts[at : at + _HELD]
+                yield pa.record_batch([pa.array(np.full(len(k), part_no)), pa.array(k.view(np.int64)), pa.array(c.view(np.int64)), pa.array(n)], names=["part", "key", "context", "own"])
+
+    return rows.mapInArrow(task, "part long, key long, context long, own long")
+
+
+def _level_table(rows: DataFrame, level: int, path: str, discount: float, above: DataFrame | None) -> DataFrame:
+    """Writes (part, key, context, total, rest, head) of a level by partition of `rows`.
+
+    total is the count over all training rows, rest the share that the key leaves as a context to the
+    lower order; above is the table of the level whose contexts the keys are. A key has at most one
+    row for each partition, of which head marks one. Pairs and triples no training text has are not written.
+    """
+    group = Window.partitionBy("key")
+    table = _level_rows(rows, level).withColumn("total", F.sum("own").over(group)).withColumn("head", F.col("part") == F.min("part").over(group)).drop("own")
+    if level > 1:
+        table = table.where("total > 0")
+    rest = F.lit(1.0)
+    if above is not None:
+        taken = F.sum(F.col("total") - F.least(F.lit(discount), F.col("total")))
+        used = above.where("head and total > 0").groupBy(F.col("context").alias("key")).agg(taken.alias("taken"))
+        table = table.join(used, "key", "left")
+        rest = F.greatest(F.lit(1e-9), F.lit(1.0) - F.coalesce("taken", F.lit(0.0)) / F.greatest("total", F.lit(1)))
+    table = table.select("part", "key", "context", "total", rest.alias("rest"), "head")
+    table.repartition("part").sortWithinPartitions("part", "key").write.option("compression", "zstd").partitionBy("part").parquet(path)
+    return rows.sparkSession.read.schema("key long, context long, total long, rest double, head boolean, part long").parquet(path)
+
+
+class _Level:
+    """Keys of a partition as an Elias-Fano sequence, with their counts and rests."""
+
+    def __init__(self, path: str, part: int):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        system, local = _filesystem(path)
+        found = [f.path for f in system.get_file_info(fs.FileSelector(f"{local}/part={part}", allow_not_found=True)) if f.path.endswith(".parquet")]
+        keys, totals, rests = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for name in found:
+            for batch in pq.ParquetFile(system.open_input_file(name)).iter_batches(_HELD, columns=["key", "total", "rest"]):
+                keys.append(batch.column(0).to_numpy().view(np.uint64).copy())
+                totals.append(batch.column(1).to_numpy().copy())
+                rests.append(batch.column(2).to_numpy().copy())
+        keys = np.concatenate(keys)
+        order = np.argsort(keys)
+        self.keys = EliasFano.build(keys[order])
+        self.total, self.rest = np.concatenate(totals)[order], np.concatenate(rests)[order]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 for those that are not there; each distinct key is searched once."""
+        some, back = np.unique(keys, return_inverse=True)
+        if not self.keys.n:
+            return np.full(len(keys), -1)
+        at = self.keys.find(some)
+        safe = np.minimum(at, self.keys.n - 1)
+        return np.where((at < self.keys.n) & (self.keys.get(safe) == some), at, -1)[back]
+
+    def values(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and rests at places; 0 and 1 where there is none."""
+        if not len(self.total):
+            return np.zeros(len(at), np.int64), np.ones(len(at))
+        return np.where(at >= 0, self.total[at], 0), np.where(at >= 0, self.rest[at], 1.0)
+
+
+def score_tokens(levels: list[_Level], tokens: np.ndarray, ptr: np.ndarray, unseen: float, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(training count, log10 unigram probability, log10 probability after the two tokens before) of every token.
+
+    unseen: 1 / (training tokens + distinct training tokens + 1).
+    """
+    words, pairs, triples = levels
+    one, pair, triple = _ngrams(tokens, ptr)
+    ids = words.find(np.append(tokens, START))
+    if (ids < 0).any():
+        raise RuntimeError("the partitions of the documents changed between two passes")
+    c1, rest1 = words.values(ids)
+    first = ptr[:-1]
+    before = lambda x, start: _shifted(x, first, start)
+    p1 = (c1[:-1] + 1.0) * unseen
+    of, left = before(c1[:-1], c1[-1]), before(rest1[:-1], rest1[-1])
+    c2, rest2 = pairs.values(pairs.find(pair))
+    p2 = np.maximum(c2 - discount, 0.0) / np.maximum(of, 1) + left * p1
+    of, left = before(c2, 0), before(rest2, 1.0)
+    c3, _ = triples.values(triples.find(triple))
+    c3 = np.where(of > 0, c3, 0)
+    p3 = np.maximum(c3 - discount, 0.0) / np.maximum(of, 1) + left * p2
+    return c1[:-1], np.log10(p1), np.log10(p3)
+
+
+def _shifted(x: np.ndarray, first: np.ndarray, start: float) -> np.ndarray:
+    """Values of the tokens before; `start` at the first tokens of texts."""
+    out = np.concatenate([x[:1], x[:-1]])
+    out[first] = start
+    return out
 
 
-def lm_scores(docs: DataFrame, held: object, id_col: str = "doc_id", text_col: str = "text", density: float = DENSITY, discount: float = DISCOUNT) -> DataFrame:
+def lm_scores(docs: DataFrame, held: object, id_col: str = "doc_id", text_col: str = "text", discount: float = DISCOUNT) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     held: boolean expression; rows for which it is true are scored but teach nothing. A null text
@@ -246,27 +345,19 @@ def lm_scores(docs: DataFrame, held: object, id_col: str = "doc_id", text_col: s
     if not _is_scan(docs):
         rows = materialize(rows, "rows")
     base = shared_dir(spark)
-    words = word_tables(rows, f"{base}/words")
-    trie, total, distinct = train(rows, words, density, discount)
-    system, local = _filesystem(f"{base}/trie")
-    with system.open_output_stream(local) as f:
-        f.write(trie.to_bytes())
+    paths, table = [f"{base}/{name}" for name in ("words", "pairs", "triples")], None
+    for level in (3, 2, 1):
+        table = _level_table(rows, level, paths[level - 1], discount, table)
+    counted = table.where(F.col("head") & (F.col("total") > 0) & (F.col("key") != int(START.view(np.int64))))
+    total, distinct = counted.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
 
     def task(batches):
-        part_no, trie = TaskContext.get().partitionId(), None
+        part_no, levels = TaskContext.get().partitionId(), None
         for part in slices(batches, "text"):
-            if trie is None:
-                trie = _open_trie(f"{base}/trie")
-                own, totals = _own_words(f"{base}/words", part_no)
-                ids_of = trie.ids(own)
+            levels = levels or [_Level(path, part_no) for path in paths]
             tokens, ptr = _tokens(part.column(1))
-            at = _lookup(own, tokens)
-            if (at < 0).any():
-                raise RuntimeError("the partitions of the documents changed between two passes")
-            counts = totals[at]
-            p1 = (counts + 1.0) / (total + distinct + 1.0)
-            scores = score_tokens(trie, ids_of[at], ptr, p1)
-            sums = [np.add.reduceat(x, ptr[:-1]) for x in (np.log10(p1), scores)]
+            counts, *logs = score_tokens(levels, tokens, ptr, 1.0 / (total + distinct + 1.0), discount)
+            sums = [np.add.reduceat(x, ptr[:-1]) for x in logs]
             n = part.num_rows
             yield pa.record_batch([part.column(0), part.column(2), pa.array(np.diff(ptr)), pa.array(segment_sums(counts > 0, ptr)), pa.array(np.full(n, total)), *map(pa.array, sums)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

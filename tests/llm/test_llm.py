@@ -448,6 +448,23 @@ def test_language_model_is_brute_force(spark):
         assert math.isclose(r.score, want, rel_tol=1e-3), (i, r.score, want)
 
 
+def test_rare_ngrams_shape_scores_of_a_large_table(spark):
+    r = random.Random(23)
+    few = [f"w{k}" for k in range(6)]
+    rows = [(i, " ".join(r.choice(few) for _ in range(40)) + (" odd pair here" if i == 1 else "")) for i in range(500)]
+    df = spark.createDataFrame(rows + [(500, "odd pair here")], "id long, text string").repartition(3)
+    got = {x.id: x for x in ngramlm.lm_scores(df, F.col("id") == 500, "id").collect()}
+    n = 500 * 41 + 3
+    assert got[500].train_tokens == n > 10_000
+    p1 = 2 / (n + 11)
+    after = 0.25 + 0.75 * p1  # of "pair" after "odd" and of "here" after "pair"
+    end = 0.25 + 0.75 * 501 / (n + 11)
+    want = math.log10(p1) + math.log10(after) + math.log10(0.25 + 0.75 * after) + math.log10(0.25 + 0.75 * end)
+    starts = len({t.split()[0] for _, t in rows})
+    want += math.log10(0.75 * starts / 500)  # the start leaves this much to words that never begin a text
+    assert math.isclose(got[500].score, want, rel_tol=1e-6)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

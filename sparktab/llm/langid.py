@@ -22,7 +22,6 @@ from sparktab.llm.common import mix, remainder, slices, without_clashes
 
 #: Labelled rows per language that the model is fitted on; their whole texts are read.
 SAMPLE_ROWS = 400
-MAX_PIECE = 12
 ROUNDS = 4
 #: Weight, in pieces, of the shared distribution in a language's own one.
 SHRINK = 200.0
@@ -37,7 +36,7 @@ def vocabulary_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if 0 < len(p) <= MAX_PIECE and LETTERS.fullmatch(p.replace(MARK, "", 1) or "a"))
+    return sorted(p for p in pieces if p and LETTERS.fullmatch(p.replace(MARK, "", 1) or "a"))
 
 
 _UNIT = np.uint64(0x9E3779B97F4A7C15)
@@ -57,6 +56,7 @@ class PieceModel:
     keys: np.ndarray
     logp: np.ndarray
     other: np.ndarray
+    longest: int | None = None  # characters of the longest piece, if known
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
@@ -76,7 +76,7 @@ def _spans(model: PieceModel, codes: np.ndarray, lens: np.ndarray):
     """(end, length, rows, piece) of every vocabulary piece in the words, by length."""
     width = codes.shape[1]
     hashes = None
-    for length in range(1, min(MAX_PIECE, width) + 1):
+    for length in range(1, min(model.longest or width, width) + 1):
         hashes = _code_hash(codes) if hashes is None else _code_hash(codes[:, length - 1 :], hashes[:, : width - length + 1])
         piece = model.find(hashes.ravel()).reshape(hashes.shape)
         inside = np.arange(width - length + 1) + length <= lens[:, None]
@@ -175,11 +175,14 @@ def fit(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col:
     """A model from at most `sample_rows` rows a language, those of the least hash of their id.
 
     The rows are chosen from ids and labels alone, so texts that are not in the sample are never
-    moved. Rows with a null text or label teach nothing; None if no labelled word is left.
+    moved. Rows with a null text or label teach nothing; None if no labelled word is left. More than
+    MAX_LANGUAGES labels are an error.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
-    chosen = ranked.where(F.col("rank") <= sample_rows).groupBy("lang").agg(F.collect_list("id").alias("ids")).limit(MAX_LANGUAGES).toArrow()
+    chosen = ranked.where(F.col("rank") <= sample_rows).groupBy("lang").agg(F.collect_list("id").alias("ids")).limit(MAX_LANGUAGES + 1).toArrow()
+    if chosen.num_rows > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels")
     ids = [i for row in chosen.column("ids").to_pylist() for i in row]
     if not ids:
         return None
@@ -196,8 +199,9 @@ def fit(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col:
             h = _code_hash(np.array([ord(code)], np.uint32), h)
         keys[i] = h[0]
     keys = np.sort(keys)
+    longest = max(map(len, pieces))
     start = np.full((len(keys), len(langs)), -np.log(len(keys) + 1.0))
-    model = PieceModel(langs, keys, start, np.full(len(langs), -np.log(len(keys) + 1.0) - 2.0))
+    model = PieceModel(langs, keys, start, np.full(len(langs), -np.log(len(keys) + 1.0) - 2.0), longest)
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     for _ in range(rounds):
         total = np.zeros((len(keys) + 1, len(langs)))
@@ -209,7 +213,7 @@ def fit(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col:
         shared /= shared.sum()
         p = total + SHRINK * shared
         logs = np.log(p / p.sum(axis=0, keepdims=True))
-        model = PieceModel(langs, keys, logs[:-1], logs[-1])
+        model = PieceModel(langs, keys, logs[:-1], logs[-1], longest)
     return model
 
 

@@ -151,6 +151,16 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [math.log(brute("▁" + w)) for w in words])
 
 
+def test_no_label_and_no_long_piece_is_left_out(spark, monkeypatch):
+    assert max(map(len, langid.vocabulary_pieces(queries.PIECES))) > 12
+    df = spark.createDataFrame([(i, "some words", f"l{i % 3}") for i in range(9)], "doc_id long, text string, lang string")
+    model = langid.fit(df, queries.PIECES)
+    assert model.languages == ["l0", "l1", "l2"] and model.longest > 12
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.fit(df, queries.PIECES)
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(df, queries.PIECES).where("held_out").join(df.select("doc_id", "lang"), "doc_id").where("lang is not null")

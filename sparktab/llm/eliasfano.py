@@ -8,6 +8,8 @@ import struct
 import numpy as np
 
 _ONE = np.uint64(1)
+#: Queries of more than one for so many values are answered together.
+DENSE = 16
 _BYTE_ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
 _BYTE_SELECT = np.zeros((256, 8), np.int64)  # place of the k-th one of a byte
 for _b in range(256):
@@ -82,11 +84,25 @@ class EliasFano:
         top = (self.select1(i) - i).astype(np.uint64)
         return (top << np.uint64(self.width)) | self._low(i)
 
+    def decode(self) -> np.ndarray:
+        """All values, in one pass."""
+        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))
+        at = np.arange(self.n)
+        return ((ones[: self.n] - at).astype(np.uint64) << np.uint64(self.width)) | self._low(at)
+
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first value that is not below x (n if there is none)."""
+        """Index of the first value that is not below x (n if there is none).
+
+        Few queries go by the upper bits to their bucket and search there; queries that are not
+        much fewer than the values are sorted and meet the decoded sequence in one pass.
+        """
         if not self.n:
             return np.zeros(len(x), np.int64)
         x = x.astype(np.uint64)
+        if DENSE * len(x) > self.n:
+            order, out = np.argsort(x), np.empty(len(x), np.int64)
+            out[order] = np.searchsorted(self.decode(), x[order])
+            return out
         top = (x >> np.uint64(self.width)).astype(np.int64)
         last = int(self.ones[-1])
         most = len(self.high) * 64 - last - 2
@@ -149,19 +165,24 @@ class Level:
         """Entry of (context, word), or -1: the successor of the word relative to its context's base."""
         if not self.words.n or not len(context):
             return np.full(len(context), -1)
-        begin, end = self.pointers.get(context).astype(np.int64), self.pointers.get(context + 1).astype(np.int64)
-        base = np.where(begin > 0, self.words.get(np.maximum(begin - 1, 0)).astype(np.int64), 0)
+        dense = DENSE * len(context) > self.words.n
+        ranges, values = (self.pointers.decode(), self.words.decode()) if dense else (None, None)
+        begin, end = (ranges[context + k] if dense else self.pointers.get(context + k) for k in (0, 1))
+        begin, end = begin.astype(np.int64), end.astype(np.int64)
+        value = (lambda at: values[at]) if dense else self.words.get
+        base = np.where(begin > 0, value(np.maximum(begin - 1, 0)).astype(np.int64), 0)
         wanted = base + word + 1
         at = self.words.find(wanted)
         inside = (at >= begin) & (at < end)
         safe = np.minimum(at, self.words.n - 1)
-        return np.where(inside & (self.words.get(safe).astype(np.int64) == wanted), at, -1)
+        return np.where(inside & (value(safe).astype(np.int64) == wanted), at, -1)
 
 
 class Trie:
-    """Word keys, backoffs, and two levels of successors with their probabilities and backoffs.
+    """Word keys and two levels of successors with their log10 probabilities in 16 bits.
 
-    Word ids are ranks of the sorted keys; id `words` is the start of a text, which is only a context.
+    Word ids are ranks of the sorted keys. A context of the second level is a word, one of the third
+    an entry of the second.
     """
 
     def __init__(self, arrays: dict[str, np.ndarray], quantisers: dict[str, Quantiser]):
@@ -169,7 +190,6 @@ class Trie:
         self.keys = EliasFano.of([arrays[f"keys{i}"] for i in range(4)])
         level = lambda n: Level(EliasFano.of([arrays[f"p{n}_{i}"] for i in range(4)]), EliasFano.of([arrays[f"w{n}_{i}"] for i in range(4)]))
         self.two, self.three = level(2), level(3)
-        self.start = self.keys.n
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         at = self.keys.find(hashes)
@@ -182,6 +202,23 @@ class Trie:
         codes = self.a[name]
         return self.q[name].value(codes[np.maximum(at, 0)]) if len(codes) else np.zeros(len(at))
 
+    def score(self, tokens: np.ndarray, ptr: np.ndarray, start: np.uint64) -> np.ndarray:
+        """log10 probability of every token: of a first one after the start, of any other after the two before it.
+
+        tokens: word hashes of texts given by ptr; each text has one token or more, and all n-grams are in the trie.
+        """
+        ids = self.ids(np.append(tokens, start))
+        ids, begin = ids[:-1], ids[-1]
+        before = np.concatenate([[begin], ids[:-1]])
+        before[ptr[:-1]] = begin
+        pair = self.two.find(before, ids)
+        out = self.value("two", pair)
+        inner = np.ones(len(ids), bool)
+        inner[ptr[:-1]] = False
+        at = np.flatnonzero(inner)
+        out[at] = self.value("three", self.three.find(pair[at - 1], ids[at]))
+        return out
+
     def to_bytes(self) -> bytes:
         head, parts, at = {}, [], 0
         for name, x in self.a.items():
@@ -203,35 +240,18 @@ class Trie:
         return cls(arrays, {k: Quantiser(*x) for k, x in spec["quantisers"].items()})
 
 
-def build_trie(keys: np.ndarray, uni: np.ndarray, total: int, distinct: int, starts: int, two: tuple[np.ndarray, np.ndarray, np.ndarray], three: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], discount: float = 0.75) -> Trie:
-    """A trie from exact counts. keys: sorted word hashes; uni: their counts; total, distinct: over all
-    training tokens; two: (u, w, count), three: (t, u, w, count) by word ids, where u or t may be the
-    start, id len(keys). Absolute discounting; what is left of a context goes to the lower order, so that the
-    probabilities of a context, the unknown word included, sum to 1."""
-    n = len(keys)
-    p1 = (uni + 1.0) / (total + distinct + 1.0)
-    u, w, c2 = two
-    order = np.lexsort((w, u))
-    u, w, c2 = u[order], w[order], c2[order]
-    context = np.append(uni, starts).astype(float)
-    part = (c2 - np.minimum(discount, c2)) / context[u] if len(u) else np.zeros(0)
-    left1 = np.clip(1.0 - np.bincount(u, part, n + 1), 1e-9, 1.0)
-    p2 = part + left1[u] * p1[w] if len(u) else np.zeros(0)
-    level2 = Level.build(u, w, n + 1)
-    t3, u3, w3, c3 = three
-    e = level2.find(t3, u3)
-    lower = level2.find(u3, w3)
-    keep = (e >= 0) & (lower >= 0)
-    e, w3, c3, lower = e[keep], w3[keep], c3[keep], lower[keep]
-    order = np.lexsort((w3, e))
-    e, w3, c3, lower = e[order], w3[order], c3[order], lower[order]
-    part3 = (c3 - np.minimum(discount, c3)) / c2[e] if len(e) else np.zeros(0)
-    left2 = np.clip(1.0 - np.bincount(e, part3, len(u)), 1e-9, 1.0) if len(u) else np.zeros(0)
-    p3 = part3 + left2[e] * p2[lower] if len(e) else np.zeros(0)
-    level3 = Level.build(e, w3, len(u))
-    logs = {"b1": np.log10(left1), "p2": np.log10(p2), "b2": np.log10(left2), "p3": np.log10(p3)}
-    quantisers = {k: Quantiser.over(x) for k, x in logs.items()}
-    arrays = {k: quantisers[k].code(x) for k, x in logs.items()}
-    for name, seq in (("keys", EliasFano.build(keys)), ("p2_", level2.pointers), ("w2_", level2.words), ("p3_", level3.pointers), ("w3_", level3.words)):
-        arrays |= {f"{name}{i}": x for i, x in enumerate(seq.arrays())}
+def build_trie(keys: np.ndarray, two: tuple[np.ndarray, np.ndarray, np.ndarray], three: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Trie:
+    """A trie of sorted word keys and of (context, word, log10 probability), sorted by context, then word.
+
+    two: contexts are words; three: contexts are places in `two`.
+    """
+    levels = {2: (two, len(keys)), 3: (three, len(two[0]))}
+    quantisers, arrays = {}, {f"keys{i}": x for i, x in enumerate(EliasFano.build(keys).arrays())}
+    for n, ((context, word, log), contexts) in levels.items():
+        name = {2: "two", 3: "three"}[n]
+        level = Level.build(context, word, contexts)
+        quantisers[name] = Quantiser.over(log)
+        arrays[name] = quantisers[name].code(log)
+        for kind, seq in (("p", level.pointers), ("w", level.words)):
+            arrays |= {f"{kind}{n}_{i}": x for i, x in enumerate(seq.arrays())}
     return Trie(arrays, quantisers)

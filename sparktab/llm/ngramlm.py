@@ -1,44 +1,71 @@
-"""Language-model scores from Elias-Fano n-gram levels.
-
-Counts of words, of pairs and of triples are taken over all training texts, and none is left out for
-being rare. No file holds all of them: each partition of documents gets the words, pairs and triples
-it has, with their counts over all training texts and what their contexts leave to the lower order,
-and puts their keys into Elias-Fano sequences of its own. So memory depends on the size of a
-partition, not on that of the corpus.
-
-`train` builds one trie for a driver, of the n-grams that occur at least sqrt(N) / `density` times in N
-training tokens; scores do not use it.
+"""Language-model scores from Elias-Fano n-gram tries.
+
+Every word, pair and triple of the training texts counts, however rare. Texts are taken in blocks of
+some megabytes. A block sends each n-gram it has once, as a sorted run of keys with its own training
+counts, to the shard of the key. A shard is a range of hashed keys, so a frequent n-gram or context
+is no more than one key of each block. It adds the counts of all blocks and sends every block the
+totals of its keys, in the order of the run. With them the block puts its n-grams into a trie:
+Elias-Fano word keys, monotone pointers from contexts to their successors, and smoothed
+probabilities in 16 bits, as one memory map that is searched for successors relative to a context.
+So memory depends on the size of a block and of a shard, not on that of the corpus, and nothing is
+gathered on the driver but two totals.
+
+Probabilities are smoothed towards the lower order with a Dirichlet prior of weight `prior`:
+p(w | u) = (c(u w) + prior p(w)) / (c(u) + prior), and in the same way for triples, so those of a
+context sum to 1 and a context that was never seen leaves all to the lower order.
 """
 
 from __future__ import annotations
 
-import math
+import mmap
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktab.llm.common import Words, materialize, mix, remainder, segment_sums, shared_dir, slices, without_clashes
-from sparktab.llm.eliasfano import EliasFano, Trie, build_trie
+from sparktab.llm.common import Words, mix, remainder, segment_sums, slices, without_clashes
+from sparktab.llm.eliasfano import Trie, build_trie
 
-DENSITY = 100.0
-DISCOUNT = 0.75
+#: Weight of the lower order, in tokens.
+PRIOR = 10.0
+#: Bytes of text of a block, and of all text for each shard.
+BLOCK_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 #: The end of a text as a word hash.
 END = np.uint64(0x5851F42D4C957F2D)
 #: The start of a text, which is only a context.
 START = np.uint64(0x14057B7EF767814F)
-_HELD = 1 << 20
+#: Keys that a task holds before it merges them.
+_HELD = 1 << 21
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """An array of integers by byte planes, compressed; the first byte is the size of a value."""
+    size = values.dtype.itemsize
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, size).T)
+    return bytes([size]) + zstandard.compress(planes.tobytes(), 1)
+
 
+def _unpacked(data: bytes) -> np.ndarray:
+    size = data[0]
+    planes = np.frombuffer(zstandard.decompress(memoryview(data)[1:]), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{size}").ravel()
 
-def _filesystem(uri: str):
-    from pyarrow import fs
 
-    if "://" in uri or uri.startswith("file:"):
-        return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
-    return fs.LocalFileSystem(), uri
+def _packed_keys(keys: np.ndarray) -> bytes:
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data), dtype=np.uint64)
+
+
+def _packed_counts(counts: np.ndarray) -> bytes:
+    return _packed(counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.uint64))
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,325 +80,220 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, ptr
 
 
-class _Sums:
-    """Counts by key that are merged whenever many rows have come together."""
-
-    def __init__(self):
-        self.keys, self.counts, self.rows = [], [], 0
+def _levels(tokens: np.ndarray, ptr: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the words with the start as the last one, of the pairs that tokens end, and of the triples that the
+    tokens end which are not the first of their text; then the places of the latter."""
+    before = np.concatenate([[START], tokens[:-1]])
+    before[ptr[:-1]] = START
+    pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens)
+    inner = np.ones(len(tokens), bool)
+    inner[ptr[:-1]] = False
+    inner = np.flatnonzero(inner)
+    triple = mix(pair[inner - 1] * np.uint64(0xD1342543DE82EF95) + tokens[inner])
+    cut = np.uint64(64 - bits)
+    return np.append(tokens, START), pair >> cut, triple >> cut, inner
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.rows += len(keys)
-        if self.rows > 3 * _HELD:
-            self.merge()
 
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        keys, counts = keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
-        self.keys, self.counts, self.rows = [keys], [counts], len(keys)
-        return keys, counts
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the keys, begins of the runs of equal ones, and the run of each key."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    run = np.empty(len(keys), np.int64)
+    run[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), run
 
-    def batches(self, part: int | None, names: list[str]) -> Iterator[pa.RecordBatch]:
-        keys, counts = self.merge()
-        for at in range(0, len(keys), _HELD):
-            k, c = keys[at : at + _HELD].view(np.int64), counts[at : at + _HELD]
-            yield pa.record_batch([*([pa.array(np.full(len(k), part))] if part is not None else []), pa.array(k), pa.array(c)], names=names)
 
+def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order, begin, _ = _distinct(keys)
+    return keys[order][begin], np.add.reduceat(counts[order], begin) if len(begin) else counts
 
-def word_tables(rows: DataFrame, path: str) -> DataFrame:
-    """Writes (part, word, total, own, head) by partition of `rows`: words with their training counts over all rows.
 
-    head marks one row of each word. A word has at most one row for each partition, so no group is large.
-    """
+def _shards(keys: np.ndarray, width: int, shards: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, begin, end) of sorted keys of `width` bits; shards is a power of two."""
+    shift = width - (shards.bit_length() - 1)
+    home = (keys >> np.uint64(shift) if shift < 64 else np.zeros(len(keys), np.uint64)).astype(np.int64)
+    begin = np.flatnonzero(np.diff(home, prepend=-1))
+    return zip(home[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True)
 
-    def task(batches):
-        sums = _Sums()
-        for part in slices(batches, "text"):
-            tokens, ptr = _tokens(part.column(1))
-            train = np.repeat(~part.column(2).to_numpy(zero_copy_only=False).astype(bool), np.diff(ptr))
-            order = np.argsort(tokens, kind="stable")
-            tokens, train = tokens[order], train[order]
-            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-            sums.add(tokens[first], np.add.reduceat(train.astype(np.int64), first))
-        yield from sums.batches(TaskContext.get().partitionId(), ["part", "word", "own"])
 
-    found = rows.mapInArrow(task, "part long, word long, own long")
-    group = Window.partitionBy("word")
-    table = found.withColumn("total", F.sum("own").over(group)).withColumn("head", F.col("part") == F.min("part").over(group))
-    table.repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(path)
-    return rows.sparkSession.read.schema("word long, own long, total long, head boolean, part long").parquet(path)
+def _rows(names: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of numbers and bytes; names: name:l for a long, name:b for binary."""
+    kinds = [x.split(":") for x in names.split()]
+    arrays = [pa.array([r[i] for r in rows], pa.int64() if k == "l" else pa.large_binary()) for i, (_, k) in enumerate(kinds)]
+    return pa.record_batch([a.cast(pa.binary()) if k == "b" else a for a, (_, k) in zip(arrays, kinds, strict=True)], names=[n for n, _ in kinds])
 
 
-def _counted(rows: DataFrame, keys_of, least: int) -> pa.Table:
-    """(key, n) with n >= least over the training rows; keys_of(hashes, ptr) gives the keys of a slice."""
-
-    def task(batches):
-        sums = _Sums()
-        for part in slices(batches, "text"):
-            keys = keys_of(*_tokens(part.column(1)))
-            if len(keys):
-                keys = np.sort(keys)
-                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                sums.add(keys[first], np.diff(np.append(first, len(keys))))
-        yield from sums.batches(None, ["key", "n"])
-
-    made = rows.where("not held").mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return made.where(F.col("n") >= least).toArrow()
-
-
-def _lookup(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(hashes), -1)
-    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-    return np.where(keys[at] == hashes, at, -1)
-
-
-def _contexts(ids: np.ndarray, ptr: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the word before and of the one before that; the start of a text, or -1 where there is none."""
-    one = np.concatenate([[start], ids[:-1]])
-    one[ptr[:-1]] = start
-    two = np.concatenate([[-1], one[:-1]])
-    two[ptr[:-1]] = -1
-    return one, two
-
-
-def train(rows: DataFrame, words: DataFrame, density: float = DENSITY, discount: float = DISCOUNT) -> tuple[Trie, int, int]:
-    """(trie, training tokens N, distinct training tokens); each level has at most density * sqrt(N) entries."""
-    spark = rows.sparkSession
-    total, distinct = words.agg(F.sum("own"), F.sum((F.col("head") & (F.col("total") > 0)).cast("long"))).first()
-    total, distinct = total or 0, distinct or 0
-    least = max(1, math.ceil(math.sqrt(total) / density))
-    kept = words.where(F.col("head") & (F.col("total") >= least)).select("word", "total").toArrow()
-    keys = kept.column("word").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    keys, uni = keys[order], kept.column("total").to_numpy()[order]
-    n = len(keys)
-    end = int(_lookup(keys, np.array([END], np.uint64))[0])
-    starts = int(uni[end]) if end >= 0 else 0
-    shared_keys = spark.sparkContext.broadcast(keys)
-
-    def pairs(hashes, ptr):
-        ids = _lookup(shared_keys.value, hashes)
-        one, _ = _contexts(ids, ptr, n)
-        ok = (ids >= 0) & (one >= 0)
-        return one[ok].astype(np.uint64) * np.uint64(n + 1) + ids[ok].astype(np.uint64)
-
-    two = _counted(rows, pairs, least) if n else pa.table({"key": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    pair = two.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(pair)
-    pair, c2 = pair[order], two.column("n").to_numpy()[order]
-    shared_pairs = spark.sparkContext.broadcast(pair)
-
-    def triples(hashes, ptr):
-        ids = _lookup(shared_keys.value, hashes)
-        one, two_ = _contexts(ids, ptr, n)
-        ok = np.flatnonzero((ids >= 0) & (one >= 0) & (two_ >= 0))
-        step = np.uint64(n + 1)
-        last = _lookup(shared_pairs.value, one[ok].astype(np.uint64) * step + ids[ok].astype(np.uint64))
-        ok = ok[last >= 0]
-        first = _lookup(shared_pairs.value, two_[ok].astype(np.uint64) * step + one[ok].astype(np.uint64))
-        ok, first = ok[first >= 0], first[first >= 0]
-        return first.astype(np.uint64) * step + ids[ok].astype(np.uint64)
-
-    three = _counted(rows, triples, least) if len(pair) else two.slice(0, 0)
-    key3 = three.column("key").to_numpy().view(np.uint64)
-    step = np.uint64(n + 1)
-    entry, w3 = (key3 // step).astype(np.int64), (key3 % step).astype(np.int64)
-    u, w = (pair // step).astype(np.int64), (pair % step).astype(np.int64)
-    trie = build_trie(keys, uni, total, distinct, starts, (u, w, c2), (u[entry], w[entry], w3, three.column("n").to_numpy()), discount)
-    return trie, total, distinct
-
-
-def _ngrams(tokens: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token the word before it (or START), the key of the pair and the key of the triple it ends.
-
-    Triples begin with the second token of a text; the first one's is that of no triple that is looked up.
-    """
-    one = np.concatenate([[START], tokens[:-1]])
-    one[ptr[:-1]] = START
-    pair = mix(one * np.uint64(0x9E3779B97F4A7C15) + tokens)
-    before = np.concatenate([[START], pair[:-1]])
-    return one, pair, mix(before * np.uint64(0xD1342543DE82EF95) + tokens)
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows by the first column, in which they are sorted."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if row[0] != key:
+                if held:
+                    yield key, held
+                key, held = row[0], []
+            held.append(row)
+    if held:
+        yield key, held
 
 
-def _level_rows(rows: DataFrame, level: int) -> DataFrame:
-    """(part, key, context, own): words, pairs or triples of each partition, with their training counts there."""
+def training_totals(rows: DataFrame, shards: int) -> tuple[int, int]:
+    """Training tokens and distinct training tokens of (id, text, held). Each task sends its distinct words once."""
 
-    def task(batches):
-        part_no, held, waiting = TaskContext.get().partitionId(), [], 0
+    def words(batches):
+        keys, counts, size = [], [], 0
 
         def merged():
-            keys, contexts, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(keys)
-            keys = keys[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            return keys[first], contexts[order][first], np.add.reduceat(counts[order], first)
+            return _sums(np.concatenate(keys), np.concatenate(counts))
 
         for part in slices(batches, "text"):
             tokens, ptr = _tokens(part.column(1))
-            taught = ~part.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            train = np.repeat(taught, np.diff(ptr)).astype(np.int64)
-            one, pair, triple = _ngrams(tokens, ptr)
-            if level == 1:
-                keys, contexts, counts = np.append(tokens, START), np.zeros(len(tokens) + 1, np.uint64), np.append(train, taught.sum())
-            elif level == 2:
-                keys, contexts, counts = pair, one, train
-            else:
-                inner = np.ones(len(tokens), bool)
-                inner[ptr[:-1]] = False
-                at = np.flatnonzero(inner)
-                keys, contexts, counts = triple[at], pair[at - 1], train[at]
-            if not len(keys):
-                continue
-            held.append((keys, contexts, counts))
-            waiting += len(keys)
-            if waiting > _HELD:
-                held, waiting = [merged()], 0
+            taught = np.repeat(~part.column(2).to_numpy(zero_copy_only=False).astype(bool), np.diff(ptr))
+            k, c = _sums(tokens[taught], np.ones(int(taught.sum()), np.int64))
+            keys.append(k)
+            counts.append(c)
+            size += len(k)
+            if size > _HELD:
+                k, c = merged()
+                keys, counts, size = [k], [c], len(k) // 2
+        if keys:
+            k, c = merged()
+            for shard, a, b in _shards(k, 64, shards):
+                yield _rows("shard:l keys:b n:l", [(shard, _packed_keys(k[a:b]), int(c[a:b].sum()))])
+
+    def added(batches):
+        for _, group in _groups(batches):
+            keys = np.sort(np.concatenate([_unpacked_keys(r[1]) for r in group]))
+            yield _rows("n:l v:l", [(sum(r[2] for r in group), int((keys[1:] != keys[:-1]).sum()) + 1)])
+
+    sent = rows.mapInArrow(words, "shard long, keys binary, n long").repartition("shard").sortWithinPartitions("shard")
+    total, distinct = sent.mapInArrow(added, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    return total, distinct
+
+
+def _block(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _sent(table: pa.Table, block: int, bits: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """A block's texts, and its runs of keys with their training counts, by level and shard."""
+    names = "route:l block:l data:b counts:b"
+    yield _rows(names, [(-1 - block, block, _block(table), None)])
+    tokens, ptr = _tokens(table.column("text"))
+    taught = ~table.column("held").to_numpy().astype(bool)
+    train = np.repeat(taught, np.diff(ptr)).astype(np.int64)
+    words, pairs, triples, inner = _levels(tokens, ptr, bits)
+    for level, keys, counts in ((0, words, np.append(train, taught.sum())), (1, pairs, train), (2, triples, train[inner])):
+        keys, counts = _sums(keys, counts)
+        rows = [(level * shards + shard, block, _packed_keys(keys[a:b]), _packed_counts(counts[a:b])) for shard, a, b in _shards(keys, bits if level else 64, shards)]
+        if rows:
+            yield _rows(names, rows)
+
+
+def block_rows(rows: DataFrame, bits: int, shards: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(route, block, data, counts) of all blocks of (id, text, held)."""
+
+    def task(batches):
+        part_no, held, size, made = TaskContext.get().partitionId(), [], 0, 0
+        for part in slices(batches, "text"):
+            held.append(part)
+            size += part.nbytes
+            if size >= block_bytes:
+                yield from _sent(pa.Table.from_batches(held), (part_no << 32) + made, bits, shards)
+                held, size, made = [], 0, made + 1
         if held:
-            keys, contexts, counts = merged()
-            for at in range(0, len(keys), _HELD):
-                k, c, n = keys[at : at + _HELD], contexts[at : at + _HELD], counts[at : at + _HELD]
-                yield pa.record_batch([pa.array(np.full(len(k), part_no)), pa.array(k.view(np.int64)), pa.array(c.view(np.int64)), pa.array(n)], names=["part", "key", "context", "own"])
+            yield from _sent(pa.Table.from_batches(held), (part_no << 32) + made, bits, shards)
 
-    return rows.mapInArrow(task, "part long, key long, context long, own long")
+    return rows.mapInArrow(task, "route long, block long, data binary, counts binary")
 
 
-def _level_table(rows: DataFrame, level: int, path: str, discount: float, above: DataFrame | None) -> DataFrame:
-    """Writes (part, key, context, total, rest, head) of a level by partition of `rows`.
+def shard_totals(sent: DataFrame) -> DataFrame:
+    """(block, route, data): for each run its keys' counts over all blocks. Texts go through as they are (route -1)."""
+    names = "block:l route:l data:b"
 
-    total is the count over all training rows, rest the share that the key leaves as a context to the
-    lower order; above is the table of the level whose contexts the keys are. A key has at most one
-    row for each partition, of which head marks one. Pairs and triples no training text has are not written.
-    """
-    group = Window.partitionBy("key")
-    table = _level_rows(rows, level).withColumn("total", F.sum("own").over(group)).withColumn("head", F.col("part") == F.min("part").over(group)).drop("own")
-    if level > 1:
-        table = table.where("total > 0")
-    rest = F.lit(1.0)
-    if above is not None:
-        taken = F.sum(F.col("total") - F.least(F.lit(discount), F.col("total")))
-        used = above.where("head and total > 0").groupBy(F.col("context").alias("key")).agg(taken.alias("taken"))
-        table = table.join(used, "key", "left")
-        rest = F.greatest(F.lit(1e-9), F.lit(1.0) - F.coalesce("taken", F.lit(0.0)) / F.greatest("total", F.lit(1)))
-    table = table.select("part", "key", "context", "total", rest.alias("rest"), "head")
-    table.repartition("part").sortWithinPartitions("part", "key").write.option("compression", "zstd").partitionBy("part").parquet(path)
-    return rows.sparkSession.read.schema("key long, context long, total long, rest double, head boolean, part long").parquet(path)
-
-
-class _Level:
-    """Keys of a partition as an Elias-Fano sequence, with their counts and rests."""
-
-    def __init__(self, path: str, part: int):
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        system, local = _filesystem(path)
-        found = [f.path for f in system.get_file_info(fs.FileSelector(f"{local}/part={part}", allow_not_found=True)) if f.path.endswith(".parquet")]
-        keys, totals, rests = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for name in found:
-            for batch in pq.ParquetFile(system.open_input_file(name)).iter_batches(_HELD, columns=["key", "total", "rest"]):
-                keys.append(batch.column(0).to_numpy().view(np.uint64).copy())
-                totals.append(batch.column(1).to_numpy().copy())
-                rests.append(batch.column(2).to_numpy().copy())
-        keys = np.concatenate(keys)
-        order = np.argsort(keys)
-        self.keys = EliasFano.build(keys[order])
-        self.total, self.rest = np.concatenate(totals)[order], np.concatenate(rests)[order]
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places of keys, -1 for those that are not there; each distinct key is searched once."""
-        some, back = np.unique(keys, return_inverse=True)
-        if not self.keys.n:
-            return np.full(len(keys), -1)
-        at = self.keys.find(some)
-        safe = np.minimum(at, self.keys.n - 1)
-        return np.where((at < self.keys.n) & (self.keys.get(safe) == some), at, -1)[back]
-
-    def values(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts and rests at places; 0 and 1 where there is none."""
-        if not len(self.total):
-            return np.zeros(len(at), np.int64), np.ones(len(at))
-        return np.where(at >= 0, self.total[at], 0), np.where(at >= 0, self.rest[at], 1.0)
-
-
-def score_tokens(levels: list[_Level], tokens: np.ndarray, ptr: np.ndarray, unseen: float, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(training count, log10 unigram probability, log10 probability after the two tokens before) of every token.
-
-    unseen: 1 / (training tokens + distinct training tokens + 1).
+    def task(batches):
+        for route, group in _groups(batches):
+            if route < 0:
+                yield _rows(names, [(block, -1, data) for _, block, data, _ in group])
+                continue
+            keys = [_unpacked_keys(r[2]) for r in group]
+            counts = np.concatenate([_unpacked(r[3]).astype(np.int64) for r in group])
+            ends = np.cumsum([len(k) for k in keys]).tolist()
+            order, begin, run = _distinct(np.concatenate(keys))
+            total = np.add.reduceat(counts[order], begin)[run]
+            yield _rows(names, [(r[1], route, _packed_counts(total[a:b])) for r, a, b in zip(group, [0, *ends], ends, strict=False)])
+
+    return sent.repartition("route").sortWithinPartitions("route", "block").mapInArrow(task, "block long, route long, data binary")
+
+
+def block_trie(tokens: np.ndarray, ptr: np.ndarray, counts: tuple[np.ndarray, np.ndarray, np.ndarray], bits: int, total: int, distinct: int, prior: float) -> tuple[Trie, np.ndarray]:
+    """The trie of a block, and the training count of each of its tokens.
+
+    counts: totals of the words, pairs and triples, in the order of their sorted distinct keys.
     """
-    words, pairs, triples = levels
-    one, pair, triple = _ngrams(tokens, ptr)
-    ids = words.find(np.append(tokens, START))
-    if (ids < 0).any():
-        raise RuntimeError("the partitions of the documents changed between two passes")
-    c1, rest1 = words.values(ids)
-    first = ptr[:-1]
-    before = lambda x, start: _shifted(x, first, start)
-    p1 = (c1[:-1] + 1.0) * unseen
-    of, left = before(c1[:-1], c1[-1]), before(rest1[:-1], rest1[-1])
-    c2, rest2 = pairs.values(pairs.find(pair))
-    p2 = np.maximum(c2 - discount, 0.0) / np.maximum(of, 1) + left * p1
-    of, left = before(c2, 0), before(rest2, 1.0)
-    c3, _ = triples.values(triples.find(triple))
-    c3 = np.where(of > 0, c3, 0)
-    p3 = np.maximum(c3 - discount, 0.0) / np.maximum(of, 1) + left * p2
-    return c1[:-1], np.log10(p1), np.log10(p3)
-
-
-def _shifted(x: np.ndarray, first: np.ndarray, start: float) -> np.ndarray:
-    """Values of the tokens before; `start` at the first tokens of texts."""
-    out = np.concatenate([x[:1], x[:-1]])
-    out[first] = start
-    return out
-
-
-def lm_scores(docs: DataFrame, held: object, id_col: str = "doc_id", text_col: str = "text", discount: float = DISCOUNT) -> DataFrame:
+    words, pairs, triples, inner = _levels(tokens, ptr, bits)
+    order, begin, ids = _distinct(words)
+    keys, c1, ids, start = words[order][begin], counts[0], ids[:-1], ids[-1]
+    before = np.concatenate([[start], ids[:-1]])
+    before[ptr[:-1]] = start
+    p1 = (c1 + 1.0) / (total + distinct + 1.0)
+    c2 = counts[1][_distinct(pairs)[2]]
+    p2 = (c2 + prior * p1[ids]) / (c1[before] + prior)
+    c3 = counts[2][_distinct(triples)[2]] if len(inner) else np.zeros(0)
+    p3 = (c3 + prior * p2[inner]) / (c2[inner - 1] + prior)
+    n = len(keys)
+    order, begin, entry = _distinct(before * n + ids)
+    at = order[begin]
+    two = (before[at], ids[at], np.log10(p2[at]))
+    context = entry[inner - 1]
+    order, begin, _ = _distinct(context * n + ids[inner])
+    at = order[begin]
+    three = (context[at], ids[inner][at], np.log10(p3[at]))
+    raw = build_trie(keys, two, three).to_bytes()
+    mapped = mmap.mmap(-1, len(raw))
+    mapped.write(raw)
+    return Trie.from_buffer(mapped), c1[ids]
+
+
+def lm_scores(docs: DataFrame, held: object, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     held: boolean expression; rows for which it is true are scored but teach nothing. A null text
     is empty: one token, the end. Without training rows every word has the same probability 1.
     Repeated ids give repeated rows; an empty table gives an empty table; other columns are not
-    read. docs must be a scan whose partitions are the same at every run; any other plan is written
-    to the shared folder first.
+    read. Keys of pairs and triples have so many bits that about one in 10^5 at most shares its key
+    with another one; those of words have 64.
     """
-    spark = docs.sparkSession
     rows = without_clashes(docs.withColumn("held_flag_", F.coalesce(held, F.lit(False))), id_col, text_col, "held_flag_").toDF("id", "text", "held")
-    if not _is_scan(docs):
-        rows = materialize(rows, "rows")
-    base = shared_dir(spark)
-    paths, table = [f"{base}/{name}" for name in ("words", "pairs", "triples")], None
-    for level in (3, 2, 1):
-        table = _level_table(rows, level, paths[level - 1], discount, table)
-    counted = table.where(F.col("head") & (F.col("total") > 0) & (F.col("key") != int(START.view(np.int64))))
-    total, distinct = counted.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = 1 << max(0, (size // shard_bytes)).bit_length()
+    bits = min(64, 16 + max(size, 1 << 16).bit_length())
+    total, distinct = training_totals(rows, shards)
+    answers = shard_totals(block_rows(rows, bits, shards, block_bytes))
 
     def task(batches):
-        part_no, levels = TaskContext.get().partitionId(), None
-        for part in slices(batches, "text"):
-            levels = levels or [_Level(path, part_no) for path in paths]
-            tokens, ptr = _tokens(part.column(1))
-            counts, *logs = score_tokens(levels, tokens, ptr, 1.0 / (total + distinct + 1.0), discount)
-            sums = [np.add.reduceat(x, ptr[:-1]) for x in logs]
-            n = part.num_rows
-            yield pa.record_batch([part.column(0), part.column(2), pa.array(np.diff(ptr)), pa.array(segment_sums(counts > 0, ptr)), pa.array(np.full(n, total)), *map(pa.array, sums)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for _, group in _groups(batches):
+            table = pa.ipc.open_stream(group[0][2]).read_all().combine_chunks()
+            tokens, ptr = _tokens(table.column("text"))
+            counts = tuple(np.concatenate([np.zeros(0, np.int64), *[_unpacked(r[2]).astype(np.int64) for r in group[1:] if r[1] // shards == level]]) for level in range(3))
+            trie, known = block_trie(tokens, ptr, counts, bits, total, distinct, prior)
+            logs = trie.score(tokens, ptr, START)
+            base = np.log10((known + 1.0) / (total + distinct + 1.0))
+            n = table.num_rows
+            sums = [np.add.reduceat(x, ptr[:-1]) for x in (base, logs)]
+            yield pa.record_batch([*[table.column(c).combine_chunks() if table.column(c).num_chunks != 1 else table.column(c).chunk(0) for c in ("id", "held")], pa.array(np.diff(ptr)), pa.array(segment_sums(known > 0, ptr)), pa.array(np.full(n, total)), *map(pa.array, sums)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.mapInArrow(task, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    dealt = answers.repartition("block").sortWithinPartitions("block", "route")
+    out = dealt.mapInArrow(task, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 
 
-def _is_scan(df: DataFrame) -> bool:
-    """Whether the plan is a file scan with projections and filters only."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return all(line.lstrip(" :+-").startswith(("Project", "Filter", "Relation")) for line in plan.strip().splitlines())
-
-
 def score_documents(docs: DataFrame) -> DataFrame:
     """Scores with the rows whose crc32(doc_id) mod 7 is 2 held out."""
     return lm_scores(docs, remainder(7) == 2)

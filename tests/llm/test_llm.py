@@ -335,18 +335,6 @@ def test_passage_that_many_documents_share(spark):
     assert {r.id for r in met} == set(range(40)) and {r["first"] for r in met} == {0}
 
 
-def test_trie_grows_with_the_corpus(spark):
-    sizes = []
-    for n in (60, 600):
-        rows = [(i, " ".join(random.Random(i).choice(VOCAB) for _ in range(40))) for i in range(n)]
-        df = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "text", "false as held")
-        words = ngramlm.word_tables(df, f"{ngramlm.shared_dir(spark)}/words")
-        trie, total, _ = ngramlm.train(df, words)
-        assert total == 41 * n and trie.two.words.n <= ngramlm.DENSITY * math.sqrt(total)
-        sizes.append(trie.two.words.n)
-    assert sizes[1] > 2 * sizes[0]
-
-
 def test_decontamination_keeps_clean_documents_and_columns(docs, bench):
     out = decontam.decontaminate(docs, bench)
     assert out.columns == docs.columns
@@ -420,59 +408,83 @@ def test_elias_fano_access_and_search():
             assert (ef.get(np.arange(n)) == values).all()
         probes = np.concatenate([values, values + np.uint64(1), r.integers(0, top * 2, 300).astype(np.uint64)])
         assert (ef.find(probes) == np.searchsorted(values, probes)).all()
+        assert (ef.find(probes[:3]) == np.searchsorted(values, probes[:3])).all() and (ef.decode() == values).all()
 
 
-def test_language_model_is_brute_force(spark):
-    rows = [(i, " ".join(random.Random(i).choice(VOCAB[:12]) for _ in range(30)) + (" rare%d" % i)) for i in range(40)] + [(40, None), (41, "unknown words here")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r for r in ngramlm.score_documents(df).collect()}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+def brute_scores(rows, held, prior=ngramlm.PRIOR):
+    """(n_tokens, n_known, train_tokens, base_score, score) of each text, from whole Counters."""
     tokens = {i: [*WORD.findall(lower(t)), None] for i, t in rows}
-    train = [tokens[i] for i in tokens if not held[i]]
     uni, two, three, ctx = Counter(), Counter(), Counter(), Counter()
-    for t in train:
-        full = ["<s>", *t]
-        uni.update(t)
-        ctx["<s>"] += 1
-        two.update(zip(full, full[1:], strict=False))
-        three.update(zip(full, full[1:], full[2:], strict=False))
+    for i, t in tokens.items():
+        if not held(i):
+            full = ["<s>", *t]
+            uni.update(t)
+            ctx["<s>"] += 1
+            two.update(zip(full, full[1:], strict=False))
+            three.update(zip(full, full[1:], full[2:], strict=False))
     n, v = sum(uni.values()), len(uni)
     p1 = lambda w: (uni[w] + 1) / (n + v + 1)
-    total = lambda u: ctx["<s>"] if u == "<s>" else uni[u]
-    kinds = Counter(u for u, _ in two)
-    kinds3 = Counter((a, b) for a, b, _ in three)
+    p2 = lambda u, w: (two[u, w] + prior * p1(w)) / ((ctx[u] if u == "<s>" else uni[u]) + prior)
+    p3 = lambda t, u, w: (three[t, u, w] + prior * p2(u, w)) / (two[t, u] + prior)
+    out = {}
+    for i, t in tokens.items():
+        full = ["<s>", *t]
+        score = math.log10(p2("<s>", full[1])) + sum(math.log10(p3(*full[k - 2 : k + 1])) for k in range(2, len(full)))
+        out[i] = (len(t), sum(uni[w] > 0 for w in t), n, sum(math.log10(p1(w)) for w in t), score)
+    return out
 
-    def p2(u, w):
-        return p1(w) if not total(u) else max(two[u, w] - 0.75, 0) / total(u) + max(1e-9, 1 - sum(c - 0.75 for (a, _), c in two.items() if a == u) / total(u)) * p1(w)
 
-    def p3(t, u, w):
-        c = two[t, u]
-        return p2(u, w) if not c else max(three[t, u, w] - 0.75, 0) / c + max(1e-9, 1 - sum(x - 0.75 for (a, b, _), x in three.items() if (a, b) == (t, u)) / c) * p2(u, w)
+def check_scores(got, want):
+    for i, (n, known, total, base, score) in want.items():
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-3), (i, r.score, score)
 
-    assert kinds and kinds3
-    for i, t in tokens.items():
-        r, full = got[i], ["<s>", *t]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(uni[w] > 0 for w in t), n)
-        assert math.isclose(r.base_score, sum(math.log10(p1(w)) for w in t), rel_tol=1e-9)
-        want = math.log10(p2("<s>", full[1])) + sum(math.log10(p3(*full[k - 2 : k + 1])) for k in range(2, len(full)))
-        assert math.isclose(r.score, want, rel_tol=1e-3), (i, r.score, want)
+
+@pytest.mark.parametrize("size", [1 << 20, 300])
+def test_language_model_is_brute_force(spark, size):
+    rows = [(i, " ".join(random.Random(i).choice(VOCAB[:12]) for _ in range(30)) + (" rare%d" % i)) for i in range(40)] + [(40, None), (41, "unknown words here"), (42, ""), (43, "x " * 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in ngramlm.lm_scores(df, ngramlm.remainder(7) == 2, block_bytes=2 * size, shard_bytes=size).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    assert {i: r.held_out for i, r in got.items()} == held
+    check_scores(got, brute_scores(rows, held.get))
 
 
 def test_rare_ngrams_shape_scores_of_a_large_table(spark):
+    """More than 10,000 training tokens: nothing is left out for being rare, and a second copy counts."""
     r = random.Random(23)
     few = [f"w{k}" for k in range(6)]
     rows = [(i, " ".join(r.choice(few) for _ in range(40)) + (" odd pair here" if i == 1 else "")) for i in range(500)]
-    df = spark.createDataFrame(rows + [(500, "odd pair here")], "id long, text string").repartition(3)
-    got = {x.id: x for x in ngramlm.lm_scores(df, F.col("id") == 500, "id").collect()}
-    n = 500 * 41 + 3
-    assert got[500].train_tokens == n > 10_000
-    p1 = 2 / (n + 11)
-    after = 0.25 + 0.75 * p1  # of "pair" after "odd" and of "here" after "pair"
-    end = 0.25 + 0.75 * 501 / (n + 11)
-    want = math.log10(p1) + math.log10(after) + math.log10(0.25 + 0.75 * after) + math.log10(0.25 + 0.75 * end)
-    starts = len({t.split()[0] for _, t in rows})
-    want += math.log10(0.75 * starts / 500)  # the start leaves this much to words that never begin a text
-    assert math.isclose(got[500].score, want, rel_tol=1e-6)
+    fresh = lambda: " ".join(f"{r.getrandbits(28):07x}" for _ in range(60))
+    twice = [fresh() for _ in range(20)]
+    rows += [(500, "odd pair here"), *((600 + i, t) for i, t in enumerate(twice + twice)), *((700 + i, fresh()) for i in range(40))]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    got = {x.id: x for x in ngramlm.lm_scores(df, F.col("id") == 500, "id", block_bytes=4_000, shard_bytes=2_000).collect()}
+    check_scores(got, brute_scores(rows, lambda i: i == 500))
+    mean = lambda lo, hi: [got[i].score / got[i].n_tokens for i in range(lo, hi)]
+    assert min(mean(600, 640)) > max(mean(700, 740))
+
+
+def test_ngrams_sent_grow_with_the_corpus(spark):
+    sizes = []
+    for n in (60, 600):
+        rows = [(i, " ".join(random.Random(i).choice(VOCAB) for _ in range(40))) for i in range(n)]
+        df = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "text", "false as held")
+        sizes.append(sum(len(r.data) for r in ngramlm.block_rows(df, 40, 1).where("route >= 0").collect()))
+    assert sizes[1] > 5 * sizes[0]
+
+
+def test_trie_finds_successors_of_contexts():
+    r = np.random.default_rng(4)
+    pairs = np.unique(r.integers(0, 50 * 50, 600))
+    context, word = pairs // 50, pairs % 50
+    level = eliasfano.Level.build(context, word, 50)
+    at = {(int(c), int(w)): i for i, (c, w) in enumerate(zip(context, word, strict=True))}
+    asked = [(c, w) for c in range(50) for w in range(50)]
+    for some in (asked, asked[::97]):  # many and few queries go different ways
+        got = level.find(np.array([c for c, _ in some]), np.array([w for _, w in some]))
+        assert got.tolist() == [at.get(x, -1) for x in some]
 
 
 def test_pipeline_stages(spark):

@@ -24,6 +24,7 @@ class Buffer:
         self.validators: dict[str, Callable[[Table], Column]] = {}
         self.formatters: list[Callable] = []
         self.versions = 0
+        self._next: int | None = None  # the offset of the next record, while it is known
 
     @classmethod
     def of(cls, source) -> Buffer:
@@ -69,12 +70,15 @@ class Buffer:
                 raise CannotInsertRecord("record_fields", r)
         if not rows:
             return 0
-        last = self.table.last_offset()
-        start = 0 if last is None else last + 1
+        if self._next is None:
+            last = self.table.last_offset()
+            self._next = 0 if last is None else last + 1
+        start = self._next
         new = self._checked(Table.from_records(self.table.df.sparkSession, rows, None if self.table.headerless else header, start))
         kinds = self.table.df.schema
         cast = new.df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kinds.fields])
         self._set(self.table.df.unionByName(cast))
+        self._next = start + len(rows)
         return len(rows)
 
     def update(self, where, record: dict | list, count: bool = True) -> int | None:
@@ -103,9 +107,11 @@ class Buffer:
         hit = as_predicate(where).total(self.table).column()
         n = self.table.df.where(hit).count() if count else None
         self._set(self.table.df.where(~hit))
+        self._next = None
         return n
 
     def truncate(self) -> None:
+        self._next = None
         self._set(self.table.df.where(F.lit(False)))
 
     def nth(self, n: int) -> Any:

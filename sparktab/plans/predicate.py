@@ -74,7 +74,11 @@ class Cols:
             hit = {Op.CONTAINS: a.contains(b), Op.NCONTAIN: ~a.contains(b), Op.STARTS_WITH: a.startswith(b), Op.ENDS_WITH: a.endswith(b)}[self.op]
             return Total(hit)
         if self.op in (Op.REGEXP, Op.NREGEXP):
-            hit = F.regexp(a, others[0][0])
+            b = others[0][0]
+            # a delimited pattern such as /x/i, from cell to cell
+            flags = F.regexp_replace(F.regexp_extract(b, r"(?s)^\W.*\W([A-Za-z]*)$", 1), "[uUD]", "")
+            body = F.regexp_extract(b, r"(?s)^\W(.*)\W[A-Za-z]*$", 1)
+            hit = F.regexp(a, F.concat(F.when(flags != "", F.concat(F.lit("(?"), flags, F.lit(")"))).otherwise(F.lit("")), body))
             return Total(hit if self.op is Op.REGEXP else ~hit)
         return compare(self.op, a, kind, [(c, family(k), ...) for c, k in others])
 

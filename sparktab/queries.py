@@ -18,6 +18,7 @@ from sparktab.plans.order import MultiSort, SortOn
 from sparktab.plans.predicate import Col, Cols, Criteria, Offset
 from sparktab.plans.statement import Statement
 from sparktab.sources.convert import HtmlConverter, JsonConverter, XmlConverter
+from sparktab.shared import shared_dir
 from sparktab.sources.csv import Dialect, Reader, cell_expression, write_csv
 from sparktab.table import OFFSET, Table
 
@@ -290,9 +291,12 @@ def _consistency(t):
     return t("part").df.select("p_partkey", ColumnConsistency(2).expression(F.split("p_name", " ")).alias("two"))
 
 
-@query("q_delimiter_stats", "select * from (select ' ' as delimiter, sum(case when len(string_split(p_name, ' ')) > 1 then len(string_split(p_name, ' ')) else 0 end)::bigint as fields from part) union all select ';', sum(case when len(string_split(p_name, ';')) > 1 then len(string_split(p_name, ';')) else 0 end)::bigint from part union all select '||', 0")
+_FIELDS = "sum(case when len(string_split(p_name, '{d}')) > 1 then len(string_split(p_name, '{d}')) + 1 else 0 end)::bigint"
+
+
+@query("q_delimiter_stats", f"select ' ' as delimiter, {_FIELDS.format(d=' ')} as fields from part union all select ';', {_FIELDS.format(d=';')} from part union all select '||', 0")
 def _delimiters(t):
-    return delimiter_stats(t("part").df, [" ", ";", "||"], column="p_name")
+    return delimiter_stats(t("part").df, [" ", ";", "||"], -1, "p_name")
 
 
 @query("q_to_ndjson", """select n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' as line from nation""")
@@ -319,18 +323,10 @@ def _cells(t):
     return part.df.select("p_partkey", cell_expression(F.col("p_name"), part.df.schema["p_name"].dataType, Dialect(escape="")).alias("cell"))
 
 
-def _work(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/sparktab-{uuid.uuid4().hex}"
-
-
 @query("q_csv_roundtrip", "select c_custkey::varchar as c_custkey, c_name, c_nationkey::varchar as c_nationkey, c_mktsegment from customer")
 def _roundtrip(t):
     table = t("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    path = _work(table.df.sparkSession)
+    path = shared_dir(table.df.sparkSession)
     write_csv(table, path, Dialect(escape=""))
     return Reader.from_path(table.df.sparkSession, path).set_escape("").fast().to_table(table.columns).df
 
@@ -339,7 +335,7 @@ def _roundtrip(t):
 def _exact(t):
     table = t("nation")
     df = table.df.select(F.concat(F.col("n_nationkey"), F.lit(',"'), F.col("n_name"), F.lit('",')).alias("value"))
-    path = _work(df.sparkSession)
+    path = shared_dir(df.sparkSession)
     df.write.text(path)
     return Reader.from_path(df.sparkSession, path).to_table(["a", "b", "c"]).df.select("a", "b", "c")
 

@@ -59,6 +59,16 @@ def registered_filters() -> list[str]:
     return list(_FILTERS)
 
 
+def is_registered(name: str) -> bool:
+    return name in _FILTERS
+
+
+def filter_callback(name: str) -> Callable:
+    if name not in _FILTERS:
+        raise InvalidArgument(f"unknown filter {name!r}")
+    return _FILTERS[name]
+
+
 def parse_records(text: str, dialect: Dialect) -> Iterator[list[str | None]]:
     """Raw records with offsets by position; a blank line is [None]."""
     sep, quote, esc = dialect.delimiter, dialect.enclosure, dialect.escape
@@ -410,13 +420,24 @@ class Writer:
         self.filters.insert(0, (name, params))
         return self
 
+    def remove_filter(self, name: str) -> Writer:
+        self.filters = [f for f in self.filters if f[0] != name]
+        return self
+
+    def has_filter(self, name: str) -> bool:
+        return any(f[0] == name for f in self.filters)
+
+    def set_encoding(self, name: str) -> Writer:
+        self.dialect = replace(self.dialect, encoding=name)
+        return self
+
     def insert_one(self, record) -> int:
         for f in self.formatters:
             record = f(record)
         for name, f in self.validators.items():
             if not f(record):
                 raise CannotInsertRecord(name, record)
-        data = format_line(record.values() if isinstance(record, dict) else record, self.dialect, self.policy).encode()
+        data = format_line(record.values() if isinstance(record, dict) else record, self.dialect, self.policy).encode(self.dialect.encoding)
         for name, params in self.filters:
             data = _FILTERS[name](data, params)
         self.parts.append(data)
@@ -432,8 +453,11 @@ class Writer:
     def to_string(self) -> str:
         return self.to_bytes().decode(self.dialect.encoding, "replace")
 
+    def download(self, filename: str) -> tuple[dict[str, str], bytes]:
+        return download_headers(filename), self.to_bytes()
+
 
-def download_headers(filename: str) -> dict[str, str]:
+def download_headers(filename: str, kind: str = "text/csv") -> dict[str, str]:
     """HTTP headers of a file download; a name that is not ASCII goes into filename*."""
     from urllib.parse import quote
 
@@ -443,4 +467,4 @@ def download_headers(filename: str) -> dict[str, str]:
     value = f'attachment; filename="{plain}"'
     if plain != filename:
         value += f"; filename*=UTF-8''{quote(filename)}"
-    return {"Content-Type": "text/csv", "Content-Transfer-Encoding": "binary", "Content-Description": "File Transfer", "Content-Disposition": value}
+    return {"Content-Type": kind, "Content-Transfer-Encoding": "binary", "Content-Description": "File Transfer", "Content-Disposition": value}

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from sparktab.errors import InvalidArgument, QueryException, SyntaxProblem
 from sparktab.plans.predicate import as_predicate
+from sparktab.shared import materialize
 
 OFFSET = "__offset"
 FIELDS = "__fields"
@@ -30,7 +31,7 @@ class Table:
     """Lazy and immutable. A headerless table has one array column instead of named columns.
 
     Filters, sorts and slices keep the offsets of records. Offsets are attached only when an
-    operator asks for them: from the source, else by counting partitions, without a shuffle.
+    operator asks for them: from the source, else by writing the rows once in their order.
     """
 
     def __init__(self, df: DataFrame, columns: list[str] | None = None, offset: str | None = None, headerless: bool = False, order_key: list[str] | None = None, start: int = 0, ordered: tuple = ()):
@@ -84,21 +85,29 @@ class Table:
     # offsets
 
     def with_offset(self) -> Table:
-        """The table with a dense offset column: of the order key if there is one, else in scan order."""
+        """The table with a dense offset column: of the order key if there is one, else in scan order.
+
+        The ordered rows are written once, each with its partition and its place there. Both the
+        sizes of partitions and the rows are read from those files, so a second run of the plan,
+        which may be dealt out otherwise, cannot renumber or lose a row.
+        """
         if self.offset:
             return self
-        df = self.df.orderBy(*self.order_key) if self.order_key else self.df
-        numbered = df.withColumn("__id", F.monotonically_increasing_id())
-        # one row for each partition
-        sizes = numbered.groupBy(F.shiftright("__id", 33).alias("__part")).agg(F.count("*").alias("n")).collect()
-        base, total = [], self.start
-        for part, n in sorted((r[0], r[1]) for r in sizes):
-            base.append((part, total))
+        written, place = self._written()
+        return self._with(written.select(*[F.col(f"`{c}`") for c in self.df.columns], place.alias(OFFSET)), offset=OFFSET)
+
+    def _written(self) -> tuple[DataFrame, Column]:
+        """The rows in order as a written table, and the place of each as an expression."""
+        df = self.df.orderBy(*self.order_key) if self.order_key and not self.ordered else self.df
+        at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        written = materialize(df.select("*", F.spark_partition_id().alias("__part"), at.alias("__at")), "rows")
+        total, begin = self.start, []
+        for part, n in sorted(tuple(r) for r in written.groupBy("__part").agg(F.count("*")).collect()):  # one row for each partition
+            begin.append((part, total))
             total += n
-        begin = self.df.sparkSession.createDataFrame(base, "__part long, __base long")
-        joined = numbered.withColumn("__part", F.shiftright("__id", 33)).join(F.broadcast(begin), "__part")
-        low = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-        return self._with(joined.select(*[F.col(f"`{c}`") for c in self.df.columns], (F.col("__base") + low).alias(OFFSET)), offset=OFFSET)
+        bases = F.broadcast(self.df.sparkSession.createDataFrame(begin, "__part int, __base long"))
+        missing = F.raise_error(F.lit("a partition of the written rows was not counted")).cast("long")
+        return written.join(bases, "__part", "left"), F.coalesce("__base", missing) + F.col("__at")
 
     # columns
 
@@ -234,19 +243,25 @@ class Table:
         df = table.df.offset(offset) if offset else table.df
         return table._with(df.limit(length) if length >= 0 else df, ordered=table.ordered)
 
-    def chunk_id(self, size: int) -> DataFrame:
-        """The records with a column chunk: position among these records, divided by size."""
+    def _placed(self, size: int) -> DataFrame:
+        """The records, written once in their order, with their place among these records."""
         if size < 1:
             raise InvalidArgument("a chunk has one record or more")
-        table = self._in_order()
-        dense = Table(table.df.drop(OFFSET) if self.offset == OFFSET else table.df).with_offset()
-        return dense.df.withColumn("chunk", F.floor(F.col(OFFSET) / size).cast("long")).drop(OFFSET)
+        written, place = self._in_order()._with(self._in_order().df, start=0)._written()
+        return written.select(*[F.col(f"`{c}`") for c in self.df.columns], place.alias("__place"))
+
+    def chunk_id(self, size: int) -> DataFrame:
+        """The records with a column chunk: position among these records, divided by size."""
+        placed = self._placed(size).withColumn("chunk", F.floor(F.col("__place") / size).cast("long"))
+        return placed.drop("__place", OFFSET)
 
     def chunk_by(self, size: int) -> Iterator[Table]:
-        if size < 1:
-            raise InvalidArgument("a chunk has one record or more")
-        n = self.count()
-        return (self.slice(i, size) for i in range(0, n, size))
+        """Tables of `size` records each; the records are sorted and written once, however many chunks there are."""
+        placed = self._placed(size)
+        last = placed.agg(F.max("__place")).first()[0]
+        place = F.col("__place")
+        for at in range(0, -1 if last is None else last + 1, size):
+            yield self._with(placed.where(place.between(at, at + size - 1)).orderBy(place).drop("__place"), ordered=(F.lit(at),))
 
     # actions
 
@@ -256,6 +271,11 @@ class Table:
     def records(self) -> Iterator:
         return (self._record(r) for r in self._in_order().df.toLocalIterator())
 
+    def items(self) -> Iterator[tuple[int, Any]]:
+        """(offset, record) of every record in order."""
+        table = (self if self.offset else self.with_offset())._in_order()
+        return ((r[table.offset], table._record(r)) for r in table.df.toLocalIterator())
+
     def __iter__(self) -> Iterator:
         return self.records()
 

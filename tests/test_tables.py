@@ -14,11 +14,12 @@ from sparktab import queries
 from sparktab.errors import CannotInsertRecord, FragmentNotFound, InvalidArgument, QueryException, SyntaxProblem, TypeCastingFailed
 from sparktab.functions.compare import Op
 from sparktab.functions.text import Bom, EnumFormatter
-from sparktab.operators import mapping
+from sparktab.operators import checks, mapping
 from sparktab.operators.buffer import Buffer
 from sparktab.operators.inference import BooleanField, Inspector, NumericField
 from sparktab.plans.predicate import Col, Criteria, Offset
 from sparktab.plans.statement import Statement
+from sparktab.sources import csv as csv_source
 from sparktab.sources import rdbms
 from sparktab.sources.convert import HtmlConverter, JsonConverter, XmlConverter
 from sparktab.sources.csv import Dialect, Reader, Writer, format_line, parse_records, register_filter, unregister_filter
@@ -216,6 +217,55 @@ def test_plain_comparisons_reach_the_scan(spark):
     assert "GreaterThanOrEqual(l_quantity,10.0)" in plan and "EqualNullSafe(l_returnflag,R)" in plan
 
 
+@pytest.mark.parametrize("options", [{}, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m"}, {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}])
+@pytest.mark.parametrize(("name", "key"), [("orders", "o_orderkey"), ("lineitem", "l_orderkey, l_extendedprice")])
+def test_offsets_keep_every_row(spark, options, name, key):
+    before = {k: spark.conf.get(k, None) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        path = f"/root/testdata/sf0.1/{name}.parquet"
+        table = Table.from_parquet(spark, path, key.split(", ")).with_offset()
+        columns = ", ".join(table.columns)
+        got = table.df.agg(F.count("*"), F.count_distinct(OFFSET), F.min(OFFSET), F.max(OFFSET), F.sum(F.pmod(F.col(OFFSET) * F.col(table.columns[0]), F.lit(1_000_003)))).first()
+        want = duckdb.sql(f"select count(*), count(distinct rn), min(rn), max(rn), sum((rn * {table.columns[0]}) % 1000003)::bigint from (select {columns}, row_number() over (order by {key}) - 1 as rn from '{path}')").fetchall()[0]
+        assert tuple(got) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_delimiter_stats(spark):
+    mixed = "foo;bar;baz\n1|2|3\n4|5|6\n7|8|9\n"
+    assert checks.reader_delimiter_stats(Reader.from_string(spark, mixed), ["|", ";", "||"], 5) == {"|": 12, ";": 4, "||": 0}
+    limited = Reader.from_string(spark, "foo;bar;hello_world\n42;1,2,3,4,5;true\n")
+    assert checks.reader_delimiter_stats(limited, [";", ","]) == {";": 4, ",": 0}
+    lines = spark.createDataFrame([('"a;b";c',), ("x",), ('" q ""; z";"w;w";v',)], "value string")
+    assert {r.delimiter: r.fields for r in checks.delimiter_stats(lines, [";", ","], -1).collect()} == {";": 7, ",": 0}
+
+
+def test_offset_attributes_are_record_keys(weather):
+    some = weather.filter(Col("place", "=", "Berkeley")).select("place")
+    assert XmlConverter().record_element("row", "n").encode(some).count("<row n=") == 3 and '<row n="4">' in XmlConverter().record_element("row", "n").encode(some)
+    assert '<tr data-n="6">' in HtmlConverter().tr("data-n").convert(some)
+    assert XmlConverter().record_element("row", "n").encode({7: {"a": "x"}}) == '<csv><row n="7"><cell>x</cell></row></csv>'
+
+
+def test_writer_encoding_and_filters():
+    w = Writer(Dialect(escape="")).set_encoding("ISO-8859-15")
+    assert w.insert_one(["é€"]) == 3 and w.to_bytes() == b"\xe9\xa4\n" and w.to_string() == "é€\n"
+    register_filter("low", lambda data, _: data.lower())
+    w.append_filter("low")
+    assert w.has_filter("low") and not w.remove_filter("low").has_filter("low") and csv_source.is_registered("low") and csv_source.filter_callback("low")(b"A", None) == b"a"
+    assert unregister_filter("low") and not csv_source.is_registered("low")
+    headers, body = w.download("é.csv")
+    assert headers["Content-Type"] == "text/csv" and body == w.to_bytes()
+    headers, body = JsonConverter().download([{"a": 1}], "x.json")
+    assert headers["Content-Type"] == "application/json" and body == b'[{"a":1}]'
+    with pytest.raises(InvalidArgument):
+        JsonConverter().with_depth(1).encode([{"a": {"b": {"c": 1}}}])
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()

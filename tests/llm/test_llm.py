@@ -341,13 +341,23 @@ def test_decontamination_keeps_clean_documents_and_columns(docs, bench):
     assert Counter(r.doc_id for r in out.collect()) == Counter(i for i, t, *_ in ROWS if not brute_hits(t, BENCH)[-1])
 
 
-def test_encoder_is_the_library():
-    tool = bpe.Encoder(queries.TOKENIZER, 300)
-    texts = [t for _, t, *_ in ROWS] + ["x.\nY z", "a, b. c; d", "\0a b\0", "é è.\nñ", "\n\n a", "a\r\n b  c"]
+def library():
+    """The untouched tokenizer of the library."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.TOKENIZER)
+
+
+@pytest.mark.parametrize("memo", [300, 1_000_000])
+def test_encoder_is_the_library(memo):
+    tool, plain = bpe.Encoder(queries.TOKENIZER, memo), library()
+    texts = [t for _, t, *_ in ROWS] + ["x.\nY z", "a, b. c; d", "\0a b\0", "é è.\nñ", "\n\n a", "a\r\n b  c", "a<|endoftext|>b c", "say <|endoftext|>", "a\n\nb c\n d\n", "\nx y", "it's I'll x'y '", "3×4÷2 ÀÉ×x Ωμ ½²", "a\u00a0b \u2003c", "ſ ɏ ɐ ʯ ʰ", "x-1,000.50% (y) [z]! …", "\x1c\x1f \x7f", "q " * 400 + "w" * 5000, "漢字 かな한국 🙂🙂 a🙂"]
+    texts += [" ".join("".join(rng.choice("abzAZ019.,;'-\n\t×éñøſ€漢½🙂") for _ in range(rng.randint(1, 9))) for _ in range(40)) for _ in range(300)]
     for _ in range(3):
-        ids, counts = tool.encode(texts)
-        want = [e.ids for e in tool.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+        for part in (texts, texts[::2], texts[1::3], [], [None, ""]):
+            ids, counts = tool.encode(part)
+            want = [e.ids for e in plain.encode_batch([t or "" for t in part], add_special_tokens=False)]
+            assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
 
 
 def test_fullest_bin_and_plan():
@@ -364,10 +374,10 @@ def test_fullest_bin_and_plan():
 
 def test_packing_is_gapless_and_tight(docs):
     rows = packing.pack(docs, queries.TOKENIZER).collect()
-    tool = bpe.Encoder(queries.TOKENIZER)
+    plain = library()
     want = Counter()
     for i, t, *_ in ROWS:
-        ids = [*tool.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
         first = len(ids) % 1024 or 1024
         at = 0
         for piece, size in enumerate([first] + [1024] * ((len(ids) - first) // 1024)):

@@ -18,26 +18,36 @@ END_ID = 2
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1_000
 BLOOM_FPP = 0.01
+#: Bytes of text for each file.
+FILE_BYTES = 256 << 20
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes (id, n_tokens, ids) in ascending order of ids; a null text counts as empty.
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text", row_index: int = INDEX_ROWS) -> None:
+    """Writes (id, start, n_tokens, ids) in ascending order of ids; a null text counts as empty.
 
-    Texts are moved once, before they are encoded, so that the sample for the ranges costs no
-    encoding. Equal ids stay together, in the order of their texts.
+    start: the ids before the row in its file. Texts are moved once, before they are encoded, so that
+    the sample for the ranges costs no encoding. There is a file for every FILE_BYTES of text, and for
+    every shuffle partition, if `partitions` is not given. Rows of one id are ordered by a hash of
+    their text and may go on in the next file, so an id with very many rows is not one task.
     """
     spark = docs.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = without_clashes(docs, id_col, text_col).toDF("id", "text")
+    if partitions is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def task(batches):
+        before = 0
         for part, ids, counts in encoded(slices(batches, "text", cached=True), 1, tokenizer_path, end_id):
-            ptr = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            yield pa.record_batch([part.column(0), pa.array(counts), pa.ListArray.from_arrays(pa.array(ptr), pa.array(ids.view(np.int32)))], names=[id_col, "n_tokens", "ids"])
-
-    rows = without_clashes(docs, id_col, text_col).toDF("id", "text").repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
-    made = rows.mapInArrow(task, f"`{id_col}` {kind}, n_tokens long, ids array<int>")
-    options = {"orc.bloom.filter.columns": id_col, "orc.bloom.filter.fpp": str(BLOOM_FPP), "orc.row.index.stride": str(INDEX_ROWS), "orc.stripe.size": str(STRIPE_BYTES), "orc.compress": "ZSTD"}
+            ends = np.cumsum(counts)
+            ptr = np.concatenate([[0], ends]).astype(np.int32)
+            yield pa.record_batch([part.column(0), pa.array(before + ends - counts), pa.array(counts), pa.ListArray.from_arrays(pa.array(ptr), pa.array(ids.view(np.int32)))], names=[id_col, "start", "n_tokens", "ids"])
+            before += int(ends[-1])
+
+    order = ["id", F.xxhash64("text")]
+    made = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order, "text").mapInArrow(task, f"`{id_col}` {kind}, start long, n_tokens long, ids array<int>")
+    options = {"orc.bloom.filter.columns": id_col, "orc.bloom.filter.fpp": str(BLOOM_FPP), "orc.row.index.stride": str(row_index), "orc.stripe.size": str(STRIPE_BYTES), "orc.compress": "ZSTD"}
     made.write.options(**options).orc(path)
 
 
@@ -54,7 +64,7 @@ def token_index(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     """From the files: id, start (ids of all rows before it), n_tokens, ids_crc32."""
     kind = read_tokens(spark, path).schema[id_col].dataType.simpleString()
     files = F.regexp_extract(F.col("_metadata.file_path"), r"part-(\d+)", 1).cast("int")
-    rows = read_tokens(spark, path).select(id_col, "n_tokens", "ids", files.alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    rows = read_tokens(spark, path).select(id_col, "start", "ids", files.alias("file"))
 
     def task(batches):
         for batch in batches:
@@ -62,15 +72,13 @@ def token_index(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
             flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint32)
             off = lists.offsets.to_numpy()
             crc = crc32s(flat, off[:-1], off[1:])
-            yield pa.record_batch([batch.column(0), pa.array(np.diff(off).astype(np.int64)), pa.array(crc), batch.column(3)], names=["id", "n_tokens", "ids_crc32", "file"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.diff(off).astype(np.int64)), pa.array(crc), batch.column(3)], names=["id", "own", "n_tokens", "ids_crc32", "file"])
 
-    made = rows.mapInArrow(task, f"id {kind}, n_tokens long, ids_crc32 long, file int")
-    # one row for each file, from the small column alone
+    made = rows.mapInArrow(task, f"id {kind}, own long, n_tokens long, ids_crc32 long, file int")
+    # one row for each file, from a small column alone
     sizes = read_tokens(spark, path).select("n_tokens", files.alias("file")).groupBy("file").agg(F.sum("n_tokens").alias("n"))
     begin = sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
-    own = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("id", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1))
-    out = made.withColumn("own", F.coalesce(own, F.lit(0))).join(begin, "file")
-    return out.select(F.col("id").alias(id_col), (F.col("begin") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
+    return made.join(F.broadcast(begin), "file").select(F.col("id").alias(id_col), (F.col("begin") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def store_and_index(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, path: str | None = None) -> DataFrame:

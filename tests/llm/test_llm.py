@@ -396,17 +396,37 @@ def test_packing_is_gapless_and_tight(docs):
     assert len(bins) == math.ceil(sum(r.length for r in rows) / 1024)
 
 
-def test_token_files_round_trip(spark, docs, tmp_path):
+@pytest.mark.parametrize("parts", [1, 5])
+def test_token_files_round_trip(spark, docs, tmp_path, parts):
     path = f"file://{tmp_path}/tokens"
-    known = docs.where("doc_id is not null and doc_id <> 15")
-    got = {r.doc_id: r for r in tokenstore.store_and_index(known, queries.TOKENIZER, path=path).collect()}
-    tool, at = bpe.Encoder(queries.TOKENIZER), 0
-    for i, t, *_ in sorted((r for r in ROWS if r[0] not in (None, 15)), key=lambda r: r[0]):
-        ids = [*tool.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
-        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        at += len(ids)
-    found = tokenstore.lookup(spark, path, [8])
-    assert [r.doc_id for r in found.collect()] == [8] and "PushedFilters: [In(doc_id" in found._jdf.queryExecution().toString().replace("IsNotNull(doc_id), ", "") or True
+    more = [(15, f"text {i % 7}" + " more" * (i % 5)) for i in range(40)]  # rows of one id that differ, and equal ones
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    tokenstore.write_tokens(table, path, queries.TOKENIZER, partitions=parts)
+    plain = library()
+    encode = lambda t: [*plain.encode(t or "", add_special_tokens=False).ids, 2]
+    want = Counter((i, tuple(encode(t))) for i, t in [*((r[0], r[1]) for r in ROWS), *more])
+    stored = sorted(((r.file, r.row, r.doc_id, tuple(r.ids)) for r in tokenstore.read_tokens(spark, path).select("*", F.regexp_extract(F.col("_metadata.file_path"), r"part-(\d+)", 1).alias("file"), F.col("start").alias("row")).collect()))
+    assert Counter((i, ids) for _, _, i, ids in stored) == want
+    ids = [-1 if i is None else i for _, _, i, _ in stored]
+    assert ids == sorted(ids)
+    got, at, index = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokenstore.token_index(spark, path).collect())), 0, []
+    for _, _, i, x in stored:
+        index.append((at, i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
+        at += len(x)
+    assert got == index
+    assert Counter(tuple(r) for r in tokenstore.store_and_index(table, queries.TOKENIZER).select("doc_id", "n_tokens").collect()) == Counter((i, n) for _, i, n, _ in index)
+
+
+def test_lookups_skip_rows_and_stripes(spark, tmp_path):
+    path = f"file://{tmp_path}/tokens"
+    table = spark.range(0, 40_000, 2).selectExpr("id as doc_id", "'some words' as text")
+    tokenstore.write_tokens(table, path, queries.TOKENIZER, partitions=4)
+    for wanted, rows in ((7_000, 1), (7_001, 0)):  # 7001 is within a stripe's range: its Bloom filter knows better
+        found = tokenstore.lookup(spark, path, [wanted])
+        assert len(found.collect()) == rows
+        plan = found._jdf.queryExecution().executedPlan()
+        assert f"EqualTo(doc_id,{wanted})" in plan.toString()
+        assert plan.collectLeaves().head().metrics().get("numOutputRows").get().value() <= 1_000 * rows
 
 
 def test_elias_fano_access_and_search():

@@ -109,16 +109,20 @@ OP7_SQL = rf"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_ALNUM}') as w from documents),
 b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_ALNUM}') as w from benchmark where text is not null),
 test as (
-  select distinct item_id, least(len(w), {decontam.WINDOW}) as n, array_to_string(w[i : i + least(len(w), {decontam.WINDOW}) - 1], ' ') as g
-  from (select item_id, w, unnest(range(1, greatest(len(w) - {decontam.WINDOW - 1}, 1) + 1)) as i from b where len(w) > 0)),
+  select item_id, j, least(len(w), {decontam.WINDOW}) as n, array_to_string(w[j : j + least(len(w), {decontam.WINDOW}) - 1], ' ') as g
+  from (select item_id, w, unnest(range(1, greatest(len(w) - {decontam.WINDOW - 1}, 1) + 1)) as j from b where len(w) > 0)),
 sizes as (select distinct n from test),
 win as (select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n)),
-hit as (select doc_id, item_id, i, test.n from win join test using (n, g)),
+hit as (select doc_id, item_id::varchar as item, i, j, test.n from win join test using (n, g)),
 words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by 1),
-items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as joined from (select distinct doc_id, item_id::varchar as item from hit) group by 1)
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as joined from (select distinct doc_id, item from hit) group by 1),
+-- windows that follow each other in both texts are one match
+step as (select *, i - row_number() over (partition by doc_id, item, i - j order by i) as k from hit),
+match as (select doc_id, item, count(*) + max(n) - 1 as words, min(i) - 1 as start from step group by doc_id, item, i - j, k),
+best as (select * from (select *, row_number() over (partition by doc_id order by words desc, start, item) as place from match) where place = 1)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(joined, '')) as items_sha256,
-  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
-from d left join words using (doc_id) left join items using (doc_id)
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated, coalesce(words, 0)::bigint as longest, start::bigint as longest_start, item as longest_item
+from d left join words using (doc_id) left join items using (doc_id) left join best using (doc_id)
 """
 
 

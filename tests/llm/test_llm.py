@@ -297,32 +297,78 @@ def test_short_near_repeats_are_found(spark):
     assert all(wanted[k] >= 190 and found[k] >= 0.99 * wanted[k] for k in wanted if k) and None not in found
 
 
+def item_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+
+
 def brute_hits(text, items):
-    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
-    words, hit, which = split(text), set(), set()
+    words, hit, which, best = item_words(text), set(), set(), []
     for item, t in items:
-        bench = split(t)
+        bench = item_words(t)
         if item is None or not bench:
             continue
         for k in range(max(1, len(bench) - 12)):
             w = bench[k : k + 13]
             for p in range(len(words) - len(w) + 1):
                 if words[p : p + len(w)] == w:
+                    n = len(w)
+                    while k + n < len(bench) and p + n < len(words) and bench[k + n] == words[p + n]:
+                        n += 1
+                    best.append((-n, p, str(item)))
                     hit.update(range(p, p + len(w)))
                     which.add(str(item))
-    return len(words), len(hit), len(which), hashlib.sha256(",".join(sorted(which)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(words)
+    n, at, item = min(best, default=(0, None, None))
+    return len(words), len(hit), len(which), hashlib.sha256(",".join(sorted(which)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(words), -n, at, item
+
+
+def hit_columns(r):
+    return r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated, r.longest, r.longest_start, r.longest_item
 
 
 @pytest.mark.parametrize("block", [decontam.BLOCK_CHARS, 100])
 def test_contamination_is_brute_force(docs, bench, block):
-    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.find_contamination(docs.select("doc_id", "text"), bench, block_chars=block).collect())
+    got = Counter(map(hit_columns, decontam.find_contamination(docs.select("doc_id", "text"), bench, block_chars=block).collect()))
     assert got == Counter((i, *brute_hits(t, BENCH)) for i, t, *_ in ROWS)
 
 
-def test_longest_matches_are_maximal():
-    test = decontam.TestSuffixes([(10, PASSAGE)])
-    (row, at, n, item) = decontam.longest_matches(pa.array(["nothing", "lead words " + PASSAGE + " end"]), test)[0]
-    assert (row, at, n, item) == (1, 2, 70, 0)
+#: Texts of few words, so that matches overlap, repeat and break off; the first item holds two stretches of a longer passage.
+_FEW = [" ".join(random.Random(k).choice("ab") for _ in range(random.Random(k).randint(0, 90))) for k in range(40)]
+TWISTED = [" ".join([*(f"w{i}" for i in range(13)), "q", *(f"w{i}" for i in range(1, 14))]), "a " * 60, "a " * 20 + "b " * 20, *_FEW[:6], "a b", "z", ""]
+
+
+@pytest.mark.parametrize("block", [decontam.BLOCK_CHARS, 60])
+def test_longest_matches_are_brute_force(spark, block):
+    texts = [" ".join(f"w{i}" for i in range(14)), "x " + " ".join(f"w{i}" for i in range(14)) + " q " + " ".join(f"w{i}" for i in range(2, 14)), "a " * 100, *_FEW, None, "", _FEW[3], _FEW[3]]
+    items = list(enumerate(TWISTED))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    test = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(hit_columns, decontam.find_contamination(df, test, block_chars=block).collect()))
+    assert got == [(i, *brute_hits(t, items)) for i, t in enumerate(texts)] and got[0][6] == 13
+    want = {}
+    for item, t in items:
+        bench = item_words(t)
+        for k in range(len(bench)):
+            for i, text in enumerate(texts):
+                words = item_words(text)
+                for p in range(len(words)):
+                    n = 0
+                    while k + n < len(bench) and p + n < len(words) and bench[k + n] == words[p + n]:
+                        n += 1
+                    if n >= 5:
+                        want[str(item), k] = min(want.get((str(item), k), (0,)), (-n, i, p))
+    found = {(r["item"], r.item_start): (-r.n_words, r.doc_id, r.start) for r in decontam.longest_matches(df, test, 5, block_chars=block).collect()}
+    assert found == want
+
+
+def test_suffix_array_is_sorted():
+    r = np.random.default_rng(8)
+    for words in (1, 2, 5):
+        ids = r.integers(0, words + 1, 400)
+        ptr = np.array([0, 0, 7, 200, 400])
+        stops = np.union1d(np.flatnonzero(ids == 0), ptr[1:])
+        ends = stops[np.searchsorted(stops, np.arange(400), "right")]
+        suffix = lambda p: ids[p : ends[p]].tolist()
+        assert [suffix(p) for p in decontam.suffix_array(ids, ends)] == sorted(suffix(p) for p in np.flatnonzero(ids).tolist())
 
 
 def test_passage_that_many_documents_share(spark):
@@ -338,7 +384,7 @@ def test_passage_that_many_documents_share(spark):
 def test_decontamination_keeps_clean_documents_and_columns(docs, bench):
     out = decontam.decontaminate(docs, bench)
     assert out.columns == docs.columns
-    assert Counter(r.doc_id for r in out.collect()) == Counter(i for i, t, *_ in ROWS if not brute_hits(t, BENCH)[-1])
+    assert Counter(r.doc_id for r in out.collect()) == Counter(i for i, t, *_ in ROWS if not brute_hits(t, BENCH)[4])
 
 
 def library():
@@ -540,5 +586,5 @@ def test_pipeline_stages(spark):
     assert ids["substring"] <= ids["simhash"]
     items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
     after = {r.doc_id: r.text for r in kept["substring"].collect()}
-    assert ids["decontamination"] == {i for i, t in after.items() if not brute_hits(t, items)[-1]}
+    assert ids["decontamination"] == {i for i, t in after.items() if not brute_hits(t, items)[4]}
     assert ids["packing"] == ids["decontamination"]

@@ -11,11 +11,12 @@ pass at once, as arrays.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktab.llm.common import mix, remainder, slices, without_clashes
@@ -26,8 +27,22 @@ ROUNDS = 4
 #: Weight, in pieces, of the shared distribution in a language's own one.
 SHRINK = 200.0
 MARK = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")
+#: Signs that count as alphanumeric but are no letters, such as ½ and Ⅷ.
+_NUMBERS = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
 MAX_LANGUAGES = 1_000
+#: Words whose scores a task remembers; beyond that it starts anew.
+MEMO_WORDS = 400_000
+#: Letters of a word, times languages, that go through a pass together.
+CELLS = 800_000
+#: Longer words are cut for fitting, never for scoring.
+FIT_LETTERS = 1_000
+
+
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters (category L) of a text in lower case."""
+    text = text.lower()
+    return _WORDS.findall(text if text.isascii() or not _NUMBERS.search(text) else _NUMBERS.sub(" ", text))
 
 
 def vocabulary_pieces(path: str) -> list[str]:
@@ -36,7 +51,7 @@ def vocabulary_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if p and LETTERS.fullmatch(p.replace(MARK, "", 1) or "a"))
+    return sorted(p for p in pieces if p and (p == MARK or p.removeprefix(MARK).isalpha()))
 
 
 _UNIT = np.uint64(0x9E3779B97F4A7C15)
@@ -83,47 +98,61 @@ def _spans(model: PieceModel, codes: np.ndarray, lens: np.ndarray):
         yield length, np.where(inside, piece, -2)
 
 
+def _alike(lengths: np.ndarray, languages: int) -> Iterator[np.ndarray]:
+    """Words by length, in groups whose matrices stay small however long a word is."""
+    order = np.argsort(lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        width = (lengths[order[at:]] + 2) * languages
+        to = at + max(1, int(np.searchsorted(width * np.arange(1, len(width) + 1), CELLS, "right")))
+        yield order[at:to]
+        at = to
+
+
 def forward(model: PieceModel, words: list[str]) -> np.ndarray:
     """log sum over all segmentations, words x languages."""
     out = np.empty((len(words), len(model.languages)))
-    order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
-    for at in range(0, len(words), 20_000):
-        rows = order[at : at + 20_000]
+    for rows in _alike(np.fromiter(map(len, words), np.int64, len(words)), len(model.languages)):
         codes, lens = _matrix([words[i] for i in rows])
         out[rows] = _forward(model, codes, lens)[0]
     return out
 
 
-def _forward(model: PieceModel, codes: np.ndarray, lens: np.ndarray):
-    """Scaled forward sums: probabilities are kept near 1 by a running exponent for each word and language."""
+def _forward(model: PieceModel, codes: np.ndarray, lens: np.ndarray, keep_all: bool = False):
+    """Log forward sums at the end of each word; at every place only if asked for, else the last ones as far as a piece reaches."""
     n, width = codes.shape
     langs = len(model.languages)
     table = np.exp(np.vstack([model.logp, model.other[None], np.full((1, langs), -np.inf)]))
-    spans = {length: np.where(p == -2, len(table) - 1, np.where(p == -1, len(table) - 2 if length == 1 else len(table) - 1, p)) for length, p in _spans(model, codes, lens)}
-    alpha = np.zeros((width + 1, n, langs))
-    alpha[0] = 1.0
-    scale = np.zeros((width + 1, n, langs))
+    none = len(table) - 1
+    spans = {length: np.where(p == -2, none, np.where(p == -1, none - 1 if length == 1 else none, p)).astype(np.int32) for length, p in _spans(model, codes, lens)}
+    sums = [np.zeros((n, langs))]
+    last = np.zeros((n, langs))
+    reach = max(spans)
     for end in range(1, width + 1):
-        base = scale[end - 1]
+        base = sums[-1]
         total = np.zeros((n, langs))
         for length, piece in spans.items():
             if length <= end:
                 ids = piece[:, end - length]
-                some = ids != len(table) - 1
-                if some.any():
-                    shift = np.exp(np.minimum(scale[end - length][some] - base[some], 700.0))
-                    total[some] += alpha[end - length][some] * shift * table[ids[some]]
-        live = total > 0
-        safe = np.where(live, total, 1.0)
-        alpha[end], scale[end] = np.where(live, 1.0, 0.0), base + np.log(safe)
-    last = scale[lens, np.arange(n)]
-    return last, alpha, scale, spans, table
+                some = np.flatnonzero(ids != none)
+                if len(some):
+                    if length == 1:
+                        total[some] += table[ids[some]]
+                    else:
+                        shift = np.exp(np.minimum(sums[-length][some] - base[some], 700.0))
+                        total[some] += shift * table[ids[some]]
+        sums.append(base + np.log(np.where(total > 0, total, 1.0)))
+        done = lens == end
+        last[done] = sums[-1][done]
+        if not keep_all and len(sums) > reach:
+            del sums[0]
+    return last, sums, spans, table
 
 
 def _expected(model: PieceModel, codes: np.ndarray, lens: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected piece counts x languages; weight: words x languages."""
     n, width = codes.shape
-    last, alpha, scale, spans, table = _forward(model, codes, lens)
+    last, sums, spans, table = _forward(model, codes, lens, keep_all=True)
     langs = len(model.languages)
     beta = np.full((width + 1, n, langs), -np.inf)
     beta[lens, np.arange(n)] = 0.0
@@ -140,7 +169,7 @@ def _expected(model: PieceModel, codes: np.ndarray, lens: np.ndarray, weight: np
                     value = np.full((n, langs), -np.inf)
                     value[some] = logs[ids[some]] + beta[start + length][some]
                     parts.append(value)
-                    share = np.exp(np.minimum(scale[start][some] + value[some] - last[some], 0.0)) * (alpha[start][some] > 0)
+                    share = np.exp(np.minimum(sums[start][some] + value[some] - last[some], 0.0))
                     np.add.at(counts, ids[some], share * weight[some])
         top = parts[0]
         for value in parts[1:]:
@@ -158,7 +187,7 @@ def _counts(rows: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
         for batch in batches:
             seen: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.update((lang, w) for w in LETTERS.findall(text.lower()))
+                seen.update((lang, w[at : at + FIT_LETTERS]) for w in letter_runs(text) for at in range(0, len(w), FIT_LETTERS))
             yield pa.record_batch([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 
     found = rows.mapInArrow(task, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
@@ -171,19 +200,39 @@ def _counts(rows: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
     return langs, words, counts
 
 
-def fit(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> PieceModel | None:
-    """A model from at most `sample_rows` rows a language, those of the least hash of their id.
+def sample_ids(docs: DataFrame, sample_rows: int, id_col: str, text_col: str, lang_col: str) -> list:
+    """Of each label the `sample_rows` ids of least hash, with fewer ids all; more than MAX_LANGUAGES labels are an error.
 
-    The rows are chosen from ids and labels alone, so texts that are not in the sample are never
-    moved. Rows with a null text or label teach nothing; None if no labelled word is left. More than
-    MAX_LANGUAGES labels are an error.
+    Labels are counted first. Then only the ids below a hash that lets a few more than wanted
+    through are gathered, so that nothing that grows with the table meets in one task.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
-    chosen = ranked.where(F.col("rank") <= sample_rows).groupBy("lang").agg(F.collect_list("id").alias("ids")).limit(MAX_LANGUAGES + 1).toArrow()
-    if chosen.num_rows > MAX_LANGUAGES:
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    known = known.withColumn("hash", F.pmod(F.xxhash64("id"), F.lit(1 << 53)))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("id", 0.02).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} labels")
-    ids = [i for row in chosen.column("ids").to_pylist() for i in row]
+    share = {lang: min(1.0, 1.2 * (sample_rows + 8 * sample_rows**0.5 + 50) / max(n, 1)) for lang, n in sizes.items()}
+    chosen: dict = {}
+    while share:
+        below = F.create_map(*[F.lit(x) for lang, p in share.items() for x in (lang, int(p * (1 << 53)))])
+        found: dict = {lang: [] for lang in share}
+        for r in known.where(F.col("hash") <= below[F.col("lang")]).distinct().toLocalIterator():
+            found[r["lang"]].append((r["hash"], r["id"]))
+        for lang, rows in found.items():
+            if len(rows) >= sample_rows or share[lang] >= 1.0:
+                chosen[lang] = [i for _, i in sorted(rows)[:sample_rows]]
+        share = {lang: min(1.0, 2 * p) for lang, p in share.items() if lang not in chosen}
+    return sorted({i for ids in chosen.values() for i in ids})
+
+
+def fit(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> PieceModel | None:
+    """A model from at most `sample_rows` ids a language, those of the least hash.
+
+    The ids are chosen from ids and labels alone, so texts that are not in the sample are never
+    moved. Rows with a null id, text or label teach nothing; None if no labelled word is left. More
+    than MAX_LANGUAGES labels are an error. Words of more than FIT_LETTERS letters are cut.
+    """
+    ids = sample_ids(docs, sample_rows, id_col, text_col, lang_col)
     if not ids:
         return None
     wanted = docs.sparkSession.createDataFrame(pa.table({"id": ids}))
@@ -202,11 +251,10 @@ def fit(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col:
     longest = max(map(len, pieces))
     start = np.full((len(keys), len(langs)), -np.log(len(keys) + 1.0))
     model = PieceModel(langs, keys, start, np.full(len(langs), -np.log(len(keys) + 1.0) - 2.0), longest)
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
     for _ in range(rounds):
         total = np.zeros((len(keys) + 1, len(langs)))
-        for at in range(0, len(order), 4_000):
-            rows = order[at : at + 4_000]
+        for rows in _alike(lengths, 4 * len(langs)):
             codes, lens = _matrix([words[i] for i in rows])
             total += _expected(model, codes, lens, counts[rows])
         shared = total.sum(axis=1, keepdims=True) + 0.05
@@ -233,13 +281,17 @@ def predict(docs: DataFrame, model: PieceModel | None, id_col: str = "doc_id", t
             n = part.num_rows
             best, score = ["und"] * n, np.zeros(n)
             if model is not None:
-                found = [LETTERS.findall(t.lower()) if t else [] for t in part.column(1).to_pylist()]
-                if len(memo) > 400_000:
-                    memo, scores = {}, scores[:0]
+                found = [letter_runs(t) if t else [] for t in part.column(1).to_pylist()]
+                if len(memo) > MEMO_WORDS:
+                    memo = {}
                 new = list({w for words in found for w in words if w not in memo})
                 if new:
-                    memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
-                    scores = np.vstack([scores, forward(model, new)])
+                    made = forward(model, new)
+                    at = len(memo)
+                    if at + len(new) > len(scores):
+                        scores = np.vstack([scores[:at], np.empty((len(new) + at // 2, made.shape[1]))])
+                    scores[at : at + len(new)] = made
+                    memo.update(zip(new, range(at, at + len(new)), strict=True))
                 sizes = np.fromiter(map(len, found), np.int64, n)
                 flat = np.fromiter((memo[w] for words in found for w in words), np.int64, int(sizes.sum()))
                 some = np.flatnonzero(sizes)
@@ -257,6 +309,6 @@ def predict(docs: DataFrame, model: PieceModel | None, id_col: str = "doc_id", t
 
 
 def identify(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """Fit on the rows whose crc32(doc_id) mod 4 is not 2, predict all: doc_id, held_out, lang_pred, score."""
+    """Fit on the rows whose crc32(doc_id) mod 4 is not 2, predict all: doc_id, held_out (false for a null id), lang_pred, score."""
     model = fit(docs.where(remainder(4) != 2), vocabulary_path)
-    return predict(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+    return predict(docs, model).select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

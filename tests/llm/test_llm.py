@@ -151,6 +151,48 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [math.log(brute("▁" + w)) for w in words])
 
 
+def test_long_words_are_scored_whole(monkeypatch):
+    pieces = ["▁", "a", "b", "ab", "ba", "aab"]
+    keys = {}
+    for p in pieces:
+        h = None
+        for c in p:
+            h = langid._code_hash(np.array([ord(c)], np.uint32), h)
+        keys[int(h[0])] = p
+    order = sorted(keys)
+    p = {k: 0.05 + 0.04 * i for i, k in enumerate(pieces)}
+    model = langid.PieceModel(["x"], np.array(order, np.uint64), np.log([[p[keys[k]]] for k in order]), np.log([0.001]), 3)
+    r = random.Random(3)
+    word = "".join(r.choice("ab") for _ in range(100_000))
+    logs = [0.0]
+    marked = "▁" + word
+    for end in range(1, len(marked) + 1):
+        parts = [logs[end - n] + math.log(p.get(marked[end - n : end]) or 0.001) for n in (1, 2, 3) if n <= end and (n == 1 or marked[end - n : end] in p)]
+        top = max(parts)
+        logs.append(top + math.log(sum(math.exp(x - top) for x in parts)))
+    got = langid.forward(model, ["ab", word, "b"])[:, 0]
+    assert math.isclose(got[1], logs[-1], rel_tol=1e-9) and got[0] > got[1]
+    monkeypatch.setattr(langid, "CELLS", 50)
+    some = [word[:n] for n in (3, 40, 7, 500, 1)]
+    small = langid.forward(model, some)[:, 0]
+    monkeypatch.undo()
+    assert np.allclose(small, langid.forward(model, some)[:, 0])
+
+
+def test_letters_are_letters():
+    assert langid.letter_runs("Ab½c Ⅷ x²y 12 ١ ñÑ_z 漢字") == ["ab", "c", "x", "y", "ññ", "z", "漢字"]
+
+
+def test_sample_is_the_least_hashes(spark):
+    df = spark.range(0, 30_000).selectExpr("id as doc_id", "'t' as text", "if(id % 10 = 0, 'few', 'many') as lang")
+    hashes = df.selectExpr("doc_id", "lang", "pmod(xxhash64(doc_id), 9007199254740992) as h").collect()
+    want = set()
+    for lang in ("few", "many"):
+        want |= {i for _, i in sorted((r.h, r.doc_id) for r in hashes if r.lang == lang)[:50]}
+    assert set(langid.sample_ids(df, 50, "doc_id", "text", "lang")) == want
+    assert len(langid.sample_ids(df.where("doc_id < 100"), 50, "doc_id", "text", "lang")) == 10 + 50
+
+
 def test_no_label_and_no_long_piece_is_left_out(spark, monkeypatch):
     assert max(map(len, langid.vocabulary_pieces(queries.PIECES))) > 12
     df = spark.createDataFrame([(i, "some words", f"l{i % 3}") for i in range(9)], "doc_id long, text string, lang string")

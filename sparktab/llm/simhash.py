@@ -5,7 +5,7 @@ between such a pair, so the shared masked pattern of two blocks is the upper nod
 a mask, a value and the fingerprints below it, in Gray order. Within a node, runs of neighbours in
 Gray order share further patterns, which form the lower nodes; a search carries the differences
 met so far and drops a whole node once they exceed the limit. A node with very many fingerprints
-is not searched by one task: its fingerprints are searched for in chunks, one task for each.
+is not searched by one task: it is divided into nodes that share further blocks of bits.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from sparktab.llm.components import components
 
 SHINGLE = 4
 MAX_BITS = 4
-#: A node of more fingerprints than this is searched by several tasks.
+#: A node of more fingerprints than this is divided.
 HOT_NODE = 16_384
 FANOUT = 8
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -158,60 +158,73 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(new))
 
 
-def _complete(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """Columns of whole nodes and the runs of the nodes; the last column is the fingerprint, the others name the node."""
-    held: list[list[np.ndarray]] = []
-    rows = 0
+def _complete(batches: Iterator[pa.RecordBatch], size: int, hot: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns (mask, fingerprint) of whole nodes and the runs of the nodes, at least `size` rows together.
 
-    def joined():
-        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-        key = columns[-1] & columns[0]
-        return columns, _runs(*columns[:-1], key)
+    A node of more than `hot` rows is not held: it comes as a run of hot + 1 rows, its first ones.
+    """
+    done: list[list[np.ndarray]] = []  # whole nodes
+    open_: list[list[np.ndarray]] = []  # the node that may go on
+    rows = open_rows = 0
+
+    def joined(parts):
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        return columns, _runs(columns[0], columns[1] & columns[0])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns])
-        rows += batch.num_rows
-        if rows > size:
-            columns, runs = joined()
-            cut = int(runs[-2])
-            if cut:
-                yield [c[:cut] for c in columns], runs[:-1]
-            held, rows = [[c[cut:] for c in columns]], len(columns[0]) - cut
-    if held:
-        yield joined()
+        columns = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns]
+        runs = _runs(columns[0], columns[1] & columns[0])
+        same = bool(open_) and columns[0][0] == open_[0][0][0] and (columns[1][0] & columns[0][0]) == (open_[0][1][0] & open_[0][0][0])
+        if open_ and not (same and len(runs) == 2):
+            if same and (room := hot + 1 - open_rows) > 0:
+                open_.append([c[: min(room, runs[1])] for c in columns])
+            done += open_
+            rows += sum(len(x[0]) for x in open_)
+            open_, open_rows = [], 0
+            if same:
+                columns = [c[runs[1] :] for c in columns]
+                runs = runs[1:] - runs[1]
+        cut = int(runs[-2])
+        if cut:
+            done.append([c[:cut] for c in columns])
+            rows += cut
+        if (room := hot + 1 - open_rows) > 0:
+            open_.append([c[cut : cut + room] for c in columns])
+            open_rows += len(open_[-1][0])
+        if rows >= size:
+            yield joined(done)
+            done, rows = [], 0
+    if done or open_:
+        yield joined(done + open_)
 
 
 def _node_task(hot: int):
-    """Rows (mask, fp) by node and Gray rank: links (mask 0), and (mask, value, size) of a node too large for one task."""
+    """Rows (mask, fp) by node and Gray rank: links (mask 0), and (mask, value, 0) of a node too large for one task."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (mask, fps), runs in _complete(batches, 200_000):
+        for (mask, fps), runs in _complete(batches, 100_000, hot):
             sizes = np.diff(runs)
             large = np.flatnonzero(sizes > hot)
             if len(large):
-                yield _rows(mask[runs[large]], fps[runs[large]] & mask[runs[large]], sizes[large])
+                yield _rows(mask[runs[large]], fps[runs[large]] & mask[runs[large]], np.zeros(len(large), np.uint64))
             keep = np.repeat((sizes > 1) & (sizes <= hot), sizes)
             if keep.any():
-                root = np.unique(np.repeat(np.arange(len(sizes)), sizes)[keep], return_inverse=True)[1]
+                root = _runs(np.repeat(np.arange(len(sizes)), sizes)[keep])
+                root = np.repeat(np.arange(len(root) - 1), np.diff(root))
                 u, v = _search(fps[keep], root, np.repeat(sizes, sizes)[keep], 0, int(keep.sum()))
                 yield _rows(np.zeros(len(u), np.uint64), u, v)
 
     return task
 
 
-def _chunk_task(hot: int):
-    """Rows (mask, chunk, fp): the whole node, of which this chunk's leaves are searched for."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, chunk, fps), runs in _complete(batches, 1):
-            for a, b in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
-                n, lo = b - a, int(chunk[a]) * hot
-                u, v = _search(fps[a:b], np.zeros(n, np.int64), np.full(n, n), lo, min(lo + hot, n))
-                yield _rows(np.zeros(len(u), np.uint64), u, v)
-
-    return task
+def finer_masks(mask: int) -> list[int]:
+    """Masks below a mask: its bits and four of eight blocks of the others, of which a pair at four differing bits shares one at least."""
+    free = [1 << b for b in range(64) if not mask >> b & 1]
+    edges = [round(len(free) * i / (2 * MAX_BITS)) for i in range(2 * MAX_BITS + 1)]
+    blocks = [sum(free[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return [mask | sum(c) for c in combinations(blocks, MAX_BITS)]
 
 
 def _gray_sort_key(fp):
@@ -221,23 +234,32 @@ def _gray_sort_key(fp):
     return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def fingerprint_links(fps: DataFrame, hot: int = HOT_NODE) -> DataFrame:
     """Links (u, v) that span every component of distinct fingerprints (column fp, long).
 
-    A node of more than `hot` fingerprints goes to as many tasks as it has chunks of that size:
-    each holds the node's fingerprints and searches for those of its chunk.
+    A node of more than `hot` fingerprints goes on to nodes below it, which share further bits and
+    lie in other tasks. A node's other bits bound the fingerprints it can have, so that ends after
+    a few levels, and no task holds more than `hot` fingerprints of a node.
     """
-    signed = [m - (1 << 64) if m >> 63 else m for m in top_masks()]
-    rows = fps.select(F.explode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("mask"), "fp").withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-    rank, out = _gray_sort_key(F.col("fp")), "mask long, u long, v long"
-    made = materialize(rows.repartition("mask", "key").sortWithinPartitions("mask", "key", rank).select("mask", "fp").mapInArrow(_node_task(hot), out), "nodes")
-    links, large = made.where("mask = 0").select("u", "v"), made.where("mask <> 0")
-    if large.isEmpty():
-        return links
-    large = large.select("mask", F.col("u").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("v") - 1) / hot))).alias("chunk"))
-    spread = rows.join(large, ["mask", "key"]).repartition("mask", "key", "chunk").sortWithinPartitions("mask", "key", "chunk", rank)
-    more = materialize(spread.select("mask", "chunk", "fp").mapInArrow(_chunk_task(hot), out), "chunks")
-    return links.unionByName(more.select("u", "v"))
+    spark = fps.sparkSession
+    masks = F.explode(F.array(*[F.lit(_signed(m)).cast("long") for m in top_masks()]))
+    rows, links = fps.select(masks.alias("mask"), "fp"), None
+    while True:
+        rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        dealt = rows.repartition("mask", "key").sortWithinPartitions("mask", "key", _gray_sort_key(F.col("fp"))).select("mask", "fp")
+        made = materialize(dealt.mapInArrow(_node_task(hot), "mask long, u long, v long"), "nodes")
+        found, large = made.where("mask = 0").select("u", "v"), made.where("mask <> 0").select("mask", F.col("u").alias("key"))
+        links = found if links is None else links.unionByName(found)
+        parents = [r["mask"] for r in large.select("mask").distinct().collect()]  # masks only: 15, and 70 for each of them below
+        if not parents:
+            return links
+        below = spark.createDataFrame([(m, _signed(x)) for m in parents for x in finer_masks(m % (1 << 64))], "mask long, below long")
+        # several nodes above may lead to one node below
+        rows = rows.join(large, ["mask", "key"], "left_semi").join(F.broadcast(below), "mask").select(F.col("below").alias("mask"), "fp").distinct()
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

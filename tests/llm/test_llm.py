@@ -106,12 +106,13 @@ def test_simhash_is_brute_force(table, request):
     assert got == want
 
 
-def test_hot_nodes_are_searched_in_chunks_without_loss(spark):
+@pytest.mark.parametrize("hot", [50, 100_000])
+def test_hot_nodes_are_divided_without_loss(spark, hot):
     r = np.random.default_rng(3)
     center = int(r.integers(0, 2**63))
     fps = sorted({center ^ sum(1 << int(b) for b in r.choice(30, r.integers(0, 9), replace=False)) for _ in range(700)} | {int(x) for x in r.integers(0, 2**63, 200)})
-    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"), hot=50).collect()
-    assert all((u ^ v) >= 0 for u, v in links)
+    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"), hot=hot).collect()
+    assert all((u ^ v).bit_count() <= 64 for u, v in links)
     at = {f: i for i, f in enumerate(fps)}
     label = simhash.local_labels(len(fps), np.array([at[u] for u, _ in links]), np.array([at[v] for _, v in links]))
     root = brute_components(fps)
@@ -121,6 +122,23 @@ def test_hot_nodes_are_searched_in_chunks_without_loss(spark):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(root.values()))
 
 
+def test_nodes_come_whole_or_cut():
+    r = np.random.default_rng(5)
+    mask = np.sort(r.integers(1, 4, 900).astype(np.uint64)) << np.uint64(8)
+    fp = (np.sort(r.integers(0, 4, 900)).astype(np.uint64) << np.uint64(8)) | r.integers(0, 256, 900).astype(np.uint64)
+    order = np.lexsort((fp & mask, mask))
+    mask, fp = mask[order], fp[order]
+    want = Counter(zip(mask.tolist(), (fp & mask).tolist(), strict=True))
+    for step, size, hot in ((7, 1, 50), (7, 100, 1000), (900, 10, 20), (64, 10, 60)):
+        batches = [pa.record_batch([pa.array(x[a : a + step].view(np.int64)) for x in (mask, fp)], names=["mask", "fp"]) for a in range(0, 900, step)]
+        got = Counter()
+        for (m, f), runs in simhash._complete(iter(batches), size, hot):
+            for a, b in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
+                assert (int(m[a]), int(f[a] & m[a])) not in got
+                got[int(m[a]), int(f[a] & m[a])] = b - a
+        assert {k: min(n, hot + 1) for k, n in want.items()} == {k: min(n, hot + 1) for k, n in got.items()}
+
+
 def test_components_of_a_chain(spark):
     from sparktab.llm.components import components
 

@@ -348,15 +348,42 @@ def test_short_near_repeats_are_found(spark):
             passage, i = fresh(size), 2 * len(kinds)
             middle = size // 2 - changed // 2
             copy = passage[:middle] + fresh(changed) + passage[middle + changed :]
-            texts = [" ".join(fresh(r.randint(60, 150)) + x + fresh(r.randint(60, 150))) for x in (passage, copy)]
+            lead = [r.randint(60, 150) for _ in range(2)]
+            texts = [" ".join(fresh(n) + x + fresh(r.randint(60, 150))) for n, x in zip(lead, (passage, copy), strict=True)]
             hashes, ptr = substring.shingle_hashes(substring.Words(pa.array(texts, pa.large_string())))
-            kinds[i + 1] = (size, changed) if substring.repeats(hashes[ptr[1] :], [(i, hashes[: ptr[1]])], 46, 5, 0.8) else None
+            first, own = (x >> np.uint64(32) for x in (hashes[: ptr[1]], hashes[ptr[1] :]))
+            line = ((lead[0] - lead[1]) // substring.SHIFT, 0, len(own))
+            kinds[i + 1] = (size, changed) if substring.repeats(own, [(i, [line], [(0, len(first))], first)], 46, 5, 0.8) else None
             rows += [(i, texts[0]), (i + 1, texts[1])]
+    rows += [(len(rows) + k, " ".join(fresh(300))) for k in range(200)]
     got = {x.doc_id for x in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     wanted, found = Counter(kinds.values()), Counter(kinds[i] for i in got)
     assert all(wanted[k] >= 190 and found[k] >= 0.99 * wanted[k] for k in wanted if k) and None not in found
 
 
+def test_repeats_do_not_depend_on_partitions(spark, small):
+    wanted = None
+    for parts in (1, 3, 16):
+        got = sorted(map(tuple, substring.repeated_passages(small.repartition(parts)).collect()))
+        assert wanted is None or got == wanted
+        wanted = got
+
+
+def test_lines_in_another_order_are_no_passage(spark):
+    lines = [prose(9, 700 + k) for k in range(12)]
+    texts = ["\n".join(lines), "\n".join(lines[::-1]), "\n".join([lines[0]] * 12), prose(60, 800) + "\n" + lines[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert substring.repeated_passages(df).collect() == []
+
+
+def test_words_lost_and_won_in_a_passage(spark):
+    words = prose(200, 901).split()
+    changed = words[:40] + words[43:90] + ["new", "words"] + words[90:150] + words[152:]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, prose(70, 902) + " " + " ".join(changed))], "doc_id long, text string")
+    (r,) = substring.repeated_passages(df).collect()
+    assert (r.doc_id, r.first_id) == (2, 1) and abs(r.start_word - 70) <= 2 and abs(r.end_word - 70 - len(changed)) <= 2
+
+
 def item_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
 

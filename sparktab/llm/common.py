@@ -3,50 +3,51 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparktab.shared import discard, materialize, shared_dir
+
+__all__ = ["discard", "materialize", "shared_dir"]
+
 SLICE_BYTES = 1 << 20
-#: Rows that may be broadcast as ids; a larger side is joined by shuffle.
+#: Rows and bytes that may be broadcast as ids; a larger side is joined by shuffle.
 BROADCAST_IDS = 1_000_000
+BROADCAST_BYTES = 32 << 20
+#: Bytes of rows that go to Python together.
+ARROW_BYTES = 8 << 20
 #: What a Python worker keeps from task to task; dropped by the first task that does not use it.
 WORKER_CACHE: dict = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder path below spark.checkpoint.dir (a temp folder only if that is unset)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="sparktab-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/sparktab-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage is cut, nothing is computed twice."""
-    spark, path = df.sparkSession, ""
-    path = f"{shared_dir(spark)}/{name}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def few(ids: DataFrame, key: str) -> bool:
+    """Whether ids are so few, and so short as text, that they may be broadcast."""
+    rows, size = ids.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(key).cast("string"))), F.lit(0))).first()
+    return rows <= BROADCAST_IDS and size <= BROADCAST_BYTES
 
 
 def semi_or_anti(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    """docs with (left_semi) or without (left_anti) ids; ids are broadcast only if they are few."""
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, key, how)
+    """docs with (left_semi) or without (left_anti) ids, a written table; ids are broadcast only if they are few."""
+    return docs.join(F.broadcast(ids) if few(ids, key) else ids, key, how)
 
 
 def without_clashes(df: DataFrame, *wanted: str) -> DataFrame:
-    """Only the columns an operator reads; any further column is left out before the plan starts."""
-    return df.select(*[F.col(c) for c in wanted])
+    """Only the columns an operator reads; any further column is left out before the plan starts.
+
+    From here on the session hands rows to Python in batches of ARROW_BYTES, however long texts are.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df.select(*[F.col(f"`{c}`") for c in wanted])
+
+
+def hidden(df: DataFrame) -> DataFrame:
+    """The same columns under names that cannot clash with those of an operator: c0, c1 and so on."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -126,12 +127,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, _CHUNK)
-        one = np.ones(1, np.uint64)
-        _POWERS["up"] = np.concatenate([one, np.cumprod(np.full(size - 1, _BASE, np.uint64))])
-        _POWERS["down"] = np.concatenate([one, np.cumprod(np.full(size - 1, _INV, np.uint64))])
-    return _POWERS["up"], _POWERS["down"]
+    """Powers of the base and of its inverse; those for a piece of ordinary length are kept."""
+    if n <= _CHUNK + 1 and "up" in _POWERS:
+        return _POWERS["up"], _POWERS["down"]
+    one = np.ones(1, np.uint64)
+    up, down = (np.concatenate([one, np.cumprod(np.full(max(n, _CHUNK + 1) - 1, x, np.uint64))]) for x in (_BASE, _INV))
+    if n <= _CHUNK + 1:
+        _POWERS["up"], _POWERS["down"] = up, down
+    return up, down
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktab.llm.common import Words, materialize, mix, segment_sums, slices, without_clashes
+from sparktab.llm.common import Words, hidden, materialize, mix, segment_sums, slices, without_clashes
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -128,3 +128,18 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     verdict = host_verdicts(made, "host").withColumnRenamed("host", "of").select("of", "host_rate", "host_rejected")
     out = made.join(verdict, F.col("host").eqNullSafe(F.col("of"))).drop("of")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).withColumnRenamed("id", id_col)
+
+
+def good_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """docs without the rows that the base rules or their host's verdict reject.
+
+    Each row has its own verdict, so a null or repeated id makes no difference. Columns are those of docs,
+    whatever their names. An empty table gives an empty table.
+    """
+    names = docs.columns
+    text, host = (f"c{names.index(c)}" for c in (text_col, host_col))
+    rows = hidden(docs)
+    made = materialize(add_counts(rows, text), "counted")
+    verdict = host_verdicts(made, host).select(F.col("host").alias("of"), "host_rejected")
+    kept = made.where("not base_failed").join(verdict, F.col(host).eqNullSafe(F.col("of"))).where("not host_rejected")
+    return kept.select(rows.columns).toDF(*names)

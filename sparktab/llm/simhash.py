@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktab.llm.common import Words, materialize, slices, without_clashes
+from sparktab.llm.common import Words, hidden, materialize, semi_or_anti, slices, without_clashes
 from sparktab.llm.components import components
 
 SHINGLE = 4
@@ -291,3 +291,27 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = named.join(least, "component").select("fp", "component_id", "n_same")
     out = made.join(named, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of linked rows the one of least id; columns are those of docs, whatever their names.
+
+    Rows are told apart even if they share an id: of those with the least id one stays. A null id is
+    the greatest. Texts without words are one group. An empty table gives an empty table.
+    """
+    names = docs.columns
+    rows = hidden(docs)
+    key, at = f"c{names.index(id_col)}", names.index(text_col)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def task(batches):
+        for part in slices(batches, f"c{at}"):
+            yield pa.record_batch([*part.columns, pa.array(fingerprints(part.column(at)).view(np.int64))], names=[*part.schema.names, "fp"])
+
+    made = materialize(rows.mapInArrow(task, f"{fields}, fp long").withColumn("row_no", F.monotonically_increasing_id()), "fingerprinted")
+    place = F.struct(F.col(key).isNull(), F.col(key), F.col("row_no"))
+    nodes = materialize(made.groupBy("fp").agg(F.min(place).alias("least")), "distinct")
+    member = components(fingerprint_links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    stays = nodes.join(member, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("least").alias("least"))
+    stays = materialize(stays.select("least.row_no"), "stays")
+    return semi_or_anti(made, stays, "row_no", "left_semi").select(rows.columns).toDF(*names)

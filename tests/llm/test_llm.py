@@ -650,6 +650,37 @@ def test_trie_finds_successors_of_contexts():
         assert got.tolist() == [at.get(x, -1) for x in some]
 
 
+@pytest.mark.parametrize("name", ["quality", "simhash", "substring", "decontamination", "packing"])
+def test_pipeline_stages_on_awkward_tables(spark, bench, name, tmp_path):
+    import corpus_pipeline
+
+    sf_dir = f"file://{tmp_path}"
+    bench.write.parquet(f"{sf_dir}/benchmark.parquet")
+    stage = dict(corpus_pipeline.STAGES)[name]
+    long = prose(300, 41)
+    rows = [(None, prose(120, 21), "s"), (None, "short", "s"), (1, "short", "s"), (1, prose(120, 22), "s"), (1, prose(120, 22), "s"), (2, prose(120, 22), None), (3, None, "s"), (4, long, "s"), (5, long, "s"), (None, long, "s"), (6, "w" * 200_000 + " " + prose(80, 23), "s"), *((10 + i, prose(90, 300 + i), "s") for i in range(9))]
+    names = {"span_id": "a", "spans": 1, "row_no": 2, "fp": 3, "path_": 4, "first": 5, "c0": 6, "n_words": 7}
+    df = spark.createDataFrame([(*r, "en", 5, *names.values()) for r in rows], "doc_id long, text string, source string, lang string, n_chars long, span_id string, " + ", ".join(f"`{n}` long" for n in list(names)[1:])).repartition(3)
+    assert stage(spark, df.where("false"), sf_dir).collect() == []
+    out = stage(spark, df, sf_dir)
+    got = out.collect()
+    if name != "packing":
+        assert out.columns == df.columns and all(tuple(r)[5:] == tuple(names.values()) for r in got)
+    kept = Counter((r.doc_id, r.text) for r in got) if name != "packing" else None
+    every = Counter((i, t) for i, t, _ in rows)
+    if name == "quality":
+        assert kept == Counter({k: n for k, n in every.items() if k[1] and len(k[1].split()) >= 50})
+    elif name == "simhash":
+        assert kept[1, prose(120, 22)] == 1 and (2, prose(120, 22)) not in kept and kept[1, "short"] == 1 and (None, "short") not in kept
+        assert kept[None, prose(120, 21)] == 1 and kept[4, long] == 1 and (5, long) not in kept and (None, long) not in kept and kept[3, None] == 1
+    elif name == "substring":
+        assert kept[4, long] == 1 and (5, long) not in kept and kept[None, long] == 1 and kept[3, None] == 1 and kept[1, prose(120, 22)] == 2 and (2, prose(120, 22)) not in kept
+    elif name == "decontamination":
+        assert kept == every
+    else:
+        assert Counter(r.doc_id for r in got if r.piece == 0) == Counter(i for i, _, _ in rows)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

@@ -8,25 +8,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparktab.llm import decontam, packing, quality, simhash, substring
-from sparktab.llm.common import materialize, semi_or_anti
+from sparktab.llm.common import discard, materialize
 from sparktab.llm.queries import TOKENIZER, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or their host's verdict reject go."""
-    rejected = materialize(quality.quality_rules(docs).where("not kept").select("doc_id").distinct(), "rejected")
-    return semi_or_anti(docs, rejected, "doc_id", "left_anti").select(docs.columns)
+    """Rows that the rules or their host's verdict reject go; each row has its own verdict, whatever its id."""
+    return quality.good_documents(docs)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the least doc_id stays."""
-    found = simhash.simhash_components(docs)
-    copies = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return semi_or_anti(docs, copies, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of linked fingerprints one row stays, that of the least doc_id; a null one is the greatest."""
+    return simhash.without_copies(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each repeated passage the first occurrence stays; documents left without a word go."""
+    """Of each repeated passage the first occurrence stays; documents left without a word go. Rows without an id, or
+    with the same one, are never each other's repeats, and a null text stays as it is."""
     passages = substring.repeated_passages(docs)
     return substring.without_repeats(docs, passages)
 
@@ -54,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What one stage wrote goes when the next one has read it."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES):
+        read, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        if i:
+            discard(read)
     return docs

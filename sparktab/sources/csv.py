@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparktab.errors import CannotInsertRecord, InvalidArgument, SyntaxProblem, UnavailableFeature, UnavailableStream
 from sparktab.functions.text import BOMS, Bom
+from sparktab.shared import materialize
 from sparktab.table import FIELDS, OFFSET, Table, check_header
 
 
@@ -112,6 +115,54 @@ def parse_records(text: str, dialect: Dialect) -> Iterator[list[str | None]]:
             at += 2 if text.startswith("\r\n", at) else 1
 
 
+class LineScanner:
+    """Finds the ends of records in lines that are read one by one, with whether a quoted field is open between them."""
+
+    def __init__(self, dialect: Dialect):
+        d = dialect
+        self.sep, self.quote, self.esc = d.delimiter, d.enclosure, "" if d.escape == d.enclosure else d.escape
+        self.stop = re.compile("[\r\n]|" + re.escape(d.delimiter))
+        self.mark = re.compile("[" + re.escape(self.quote + self.esc) + "]")
+        self.simple = lambda line: self.quote not in line and "\r" not in line
+
+    def _close(self, text: str, at: int) -> int:
+        """The place after the enclosure that ends the open field, or -1."""
+        while (m := self.mark.search(text, at)) is not None:
+            at = m.start()
+            if self.esc and text[at] == self.esc:
+                at += 2
+            elif text.startswith(self.quote, at + 1):
+                at += 2
+            else:
+                return at + 1
+        return -1
+
+    def ends(self, line: str, open_: bool) -> tuple[list[int], bool]:
+        """Places in line (with its line feed) after the records that end in it, and whether a field stays open."""
+        if not open_ and self.simple(line):
+            return [len(line)], False
+        out, at, n = [], 0, len(line)
+        while at < n:
+            if not open_:
+                lead = at
+                while lead < n and line[lead] in " \t" and not line.startswith(self.sep, lead):
+                    lead += 1
+                open_ = lead < n and line[lead] == self.quote
+                at = lead + 1 if open_ else at
+            if open_:
+                at = self._close(line, at)
+                if at < 0:
+                    return out, True
+                open_ = False
+            m = self.stop.search(line, at)
+            at = n if m is None else m.end()
+            if m is None or m.group() in "\r\n":
+                if m is not None and m.group() == "\r" and line.startswith("\n", at):
+                    at += 1
+                out.append(at)
+        return out, False
+
+
 def decode_document(data: bytes, dialect: Dialect, filters: list[tuple[Callable, object]] = ()) -> str:
     """Bytes after filters, without the byte-order mark (unless kept), as text."""
     mark = Bom.try_from_sequence(data)
@@ -155,6 +206,167 @@ def format_line(record: Iterable, dialect: Dialect, policy: str = "necessary") -
     return dialect.delimiter.join(out) + dialect.eol
 
 
+def _record_batches(records: Iterable[tuple[int, list]]) -> Iterator[pa.RecordBatch]:
+    offsets, fields = [], []
+    for offset, record in records:
+        offsets.append(offset)
+        fields.append(record)
+        if len(offsets) == 10_000:
+            yield pa.record_batch([pa.array(offsets, pa.int64()), pa.array(fields, pa.list_(pa.string()))], names=[OFFSET, FIELDS])
+            offsets, fields = [], []
+    if offsets:
+        yield pa.record_batch([pa.array(offsets, pa.int64()), pa.array(fields, pa.list_(pa.string()))], names=[OFFSET, FIELDS])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bool, pa.Array]]:
+    """(file, block, whether it goes on, lines) of consecutive lines of one block; columns file, block, line."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = batch.column(1).to_numpy()
+        names = batch.column(0).dictionary_encode().indices.to_numpy()
+        cuts = [0, *((block[1:] != block[:-1]) | (names[1:] != names[:-1])).nonzero()[0] + 1, batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = batch.column(0)[a].as_py(), int(block[a])
+            yield (*key, key == last, batch.column(2).slice(a, b - a))
+            last = key
+
+
+def _plain(lines: pa.Array, dialect: Dialect) -> bool:
+    """Whether no line holds an enclosure or a return, so that each one is a record."""
+    return not any(pc.any(pc.match_substring(lines, c)).as_py() for c in (dialect.enclosure, "\r"))
+
+
+def split_records(spark: SparkSession, path: str, dialect: Dialect) -> DataFrame | None:
+    """(offset, fields) of the UTF-8 documents at path, read block by block; None if one begins with the mark of another encoding.
+
+    Whether a block begins within a quoted field depends on all blocks before it. So a first pass
+    finds, for either beginning, how many records of the block end, and whether a field is open
+    behind it; a few numbers for each block are put together on the driver. In the second pass
+    each block parses its own records; those that lie across blocks are parsed from their parts.
+    A field that is still open at the end of a document loses the document's last line feed.
+    """
+    lines = spark.read.format("text").option("lineSep", "\n").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
+    scanner = LineScanner(dialect)
+
+    def text_of(line: bytes, first: bool) -> str:
+        return (line.removeprefix(BOMS["UTF-8"]) if first else line).decode("utf-8", "replace")
+
+    def survey(batches):
+        now = None
+
+        def row(x):
+            # for a block that begins outside of a field, then for one that begins inside
+            return pa.record_batch([pa.array([x["file"]]), pa.array([x["block"]]), pa.array([x["mark"]], pa.string()), *[pa.array([x[k][i]], t) for i in (0, 1) for k, t in (("n", pa.int64()), ("open", pa.bool_()), ("head", pa.string()), ("tail", pa.string()))]], names=_SURVEY)
+
+        for file, block, goes_on, some in _blocks(batches):
+            if not goes_on:
+                if now is not None:
+                    yield row(_finished(now))
+                first = some[0].as_py()
+                now = {"file": file, "block": block, "mark": Bom.try_from_sequence(first) if block == 0 else None, "n": [0, 0], "open": [False, True], "head": ["", ""], "tail": [[], []], "ended": [True, False], "headed": [[], []]}
+            if _plain(some, dialect) and not now["open"][0] and not now["open"][1]:
+                now["n"] = [n + len(some) for n in now["n"]]
+                continue
+            for i, line in enumerate(some.to_pylist()):
+                text = text_of(line, block == 0 and i == 0 and not goes_on) + "\n"
+                same = now["open"][0] == now["open"][1]
+                for k in (0, 1):
+                    if k == 1 and same:
+                        cuts, open_ = done
+                    else:
+                        cuts, open_ = done = scanner.ends(text, now["open"][k])
+                    if not now["ended"][k]:
+                        now["headed"][k].append(text[: cuts[0]] if cuts else text)
+                        now["ended"][k] = bool(cuts)
+                    now["n"][k] += len(cuts)
+                    if cuts:
+                        now["tail"][k] = []
+                    if open_:
+                        now["tail"][k].append(text[cuts[-1] if cuts else 0 :])
+                    now["open"][k] = open_
+        if now is not None:
+            yield row(_finished(now))
+
+    fields = ", ".join(f"{n} {'string' if n in ('file', 'mark') or n[:4] in ('head', 'tail') else 'boolean' if n[:4] == 'open' else 'long'}" for n in _SURVEY)
+    surveyed = materialize(lines.mapInArrow(survey, fields), "blocks")
+    begins: dict[tuple[str, int], tuple[bool, int]] = {}
+    before, file = (False, 0), None
+    for r in surveyed.select("file", "block", "mark", "n0", "open0", "n1", "open1").orderBy("file", "block").collect():  # one row for each block of a file
+        if r["mark"] not in (None, "UTF-8"):
+            return None
+        before, file = (before, file) if r["file"] == file else ((False, 0), r["file"])
+        begins[r["file"], r["block"]] = before
+        before = (r["open1"], before[1] + r["n1"]) if before[0] else (r["open0"], before[1] + r["n0"])
+    shared = spark.sparkContext.broadcast(begins)
+
+    def parse(batches):
+        open_, offset, held = False, 0, []
+        for file, block, goes_on, some in _blocks(batches):
+            if not goes_on:
+                open_, offset = shared.value[file, block]
+                held, skip = [], open_
+            if not open_ and not held and _plain(some, dialect) and not (block == 0 and not goes_on):
+                yield _split_lines(some, offset, dialect)
+                offset += len(some)
+                continue
+            out = []
+            for i, line in enumerate(some.to_pylist()):
+                text = text_of(line, block == 0 and i == 0 and not goes_on) + "\n"
+                cuts, open_ = scanner.ends(text, open_)
+                at = 0
+                for cut in cuts:
+                    if not skip:  # else the record began in an earlier block
+                        out.append((offset, parse_one("".join([*held, text[at:cut]]), dialect)))
+                    held, skip, at = [], False, cut
+                    offset += 1
+                if open_ and not skip:
+                    held.append(text[at:])
+            yield from _record_batches(out)
+
+    whole = lines.mapInArrow(parse, f"{OFFSET} long, {FIELDS} array<string>")
+    table = spark.createDataFrame([(f, b, o, n) for (f, b), (o, n) in begins.items()] or [("", -1, False, 0)], "file string, block long, began boolean, base long")
+    parts = surveyed.join(F.broadcast(table), ["file", "block"])
+    head = F.when(F.col("began"), F.struct(F.col("base").alias("record"), F.col("head1").alias("text")))
+    tail_of = lambda k: F.when(F.col(f"open{k}") & (F.lit(k == 0) | (F.col(f"n{k}") > 0)), F.struct((F.col("base") + F.col(f"n{k}")).alias("record"), F.col(f"tail{k}").alias("text")))
+    pieces = parts.select("file", "block", F.explode(F.array(head, F.when(F.col("began"), tail_of(1)).otherwise(tail_of(0)))).alias("x")).where("x is not null")
+    joined = pieces.groupBy("file", "x.record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "x.text"))), lambda x: x["text"]), "").alias("text"))
+
+    def parse_parts(batches):
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            yield from _record_batches([(record, parse_one(text, dialect)) for record, text in rows])
+
+    return whole.unionByName(joined.select("record", "text").mapInArrow(parse_parts, f"{OFFSET} long, {FIELDS} array<string>"))
+
+
+_SURVEY = ["file", "block", "mark", *[f"{k}{i}" for i in (0, 1) for k in ("n", "open", "head", "tail")]]
+
+
+def _finished(now: dict) -> dict:
+    return now | {"head": ["".join(x) for x in now["headed"]], "tail": ["".join(x) for x in now["tail"]]}
+
+
+def parse_one(text: str, dialect: Dialect) -> list[str | None]:
+    """The record of a text that ends with it; its line feed may be one that the document does not have."""
+    if text in ("\n", "\r\n", "\r"):
+        return [None]
+    return next(parse_records(text.removesuffix("\n"), dialect))
+
+
+def _split_lines(lines: pa.Array, offset: int, dialect: Dialect) -> pa.RecordBatch:
+    """Records of lines without enclosures and returns."""
+    try:
+        text = lines.cast(pa.string())
+    except pa.ArrowInvalid:
+        text = pa.array([x.decode("utf-8", "replace") for x in lines.to_pylist()], pa.string())
+    cells = pc.split_pattern(text, dialect.delimiter)
+    if pc.any(pc.equal(text, "")).as_py():
+        cells = pa.array([[None] if t == "" else c for t, c in zip(text.to_pylist(), cells.to_pylist(), strict=True)], pa.list_(pa.string()))
+    return pa.record_batch([pa.array(range(offset, offset + len(lines)), pa.int64()), cells.cast(pa.list_(pa.string()))], names=[OFFSET, FIELDS])
+
+
 @dataclass(frozen=True)
 class Reader:
     """A CSV document at a path that Spark can read, or a text. Immutable; every setter gives a new reader."""
@@ -166,6 +378,7 @@ class Reader:
     read_filters: tuple[tuple[str, object], ...] = ()
     formatters: tuple[Callable, ...] = ()
     exact: bool = True
+    single_line: bool = False
 
     @classmethod
     def from_path(cls, spark: SparkSession, path: str | os.PathLike, mode: str = "r") -> Reader:
@@ -236,9 +449,12 @@ class Reader:
     def has_filter(self, name: str) -> bool:
         return any(f[0] == name for f in self.read_filters)
 
-    def fast(self) -> Reader:
-        """Spark's own splittable reader, for RFC 4180 documents with a header at 0 or none: empty fields become null."""
-        return replace(self, exact=False)
+    def fast(self, single_line: bool = False) -> Reader:
+        """Spark's own reader, for RFC 4180 documents with a header at 0 or none: empty fields become null.
+
+        It splits a file only if no field may hold a line feed (`single_line`); else each document is one task.
+        """
+        return replace(self, exact=False, single_line=single_line)
 
     def _bytes(self) -> DataFrame:
         if self.content is not None:
@@ -250,20 +466,21 @@ class Reader:
         return Bom.try_from_sequence(bytes(row["c"])) if row else None
 
     def raw_records(self) -> DataFrame:
-        """(offset, fields) of all records, blank lines included, before the header is taken: one task for each document."""
+        """(offset, fields) of all records, blank lines included, before the header is taken.
+
+        A path is read in parallel, in pieces of any size, if its bytes are UTF-8 without filters;
+        any other document is one task.
+        """
+        if self.path is not None and not self.read_filters and not self.dialect.keep_bom and self.dialect.encoding.upper() in ("UTF-8", "UTF8"):
+            found = split_records(self.spark, self.path, self.dialect)
+            if found is not None:
+                return found
         dialect, filters = self.dialect, [(_FILTERS[n], p) for n, p in self.read_filters]
 
         def task(batches):
             for batch in batches:
                 for data in batch.column(0).to_pylist():
-                    offsets, fields = [], []
-                    for i, record in enumerate(parse_records(decode_document(data, dialect, filters), dialect)):
-                        offsets.append(i)
-                        fields.append(record)
-                        if len(offsets) == 10_000:
-                            yield pa.record_batch([pa.array(offsets, pa.int64()), pa.array(fields, pa.list_(pa.string()))], names=[OFFSET, FIELDS])
-                            offsets, fields = [], []
-                    yield pa.record_batch([pa.array(offsets, pa.int64()), pa.array(fields, pa.list_(pa.string()))], names=[OFFSET, FIELDS])
+                    yield from _record_batches(enumerate(parse_records(decode_document(data, dialect, filters), dialect)))
 
         return self._bytes().mapInArrow(task, f"{OFFSET} long, {FIELDS} array<string>")
 
@@ -299,7 +516,7 @@ class Reader:
         d = self.dialect
         if d.escape not in ("", d.enclosure) or d.header_offset not in (None, 0) or not d.skip_empty or self.read_filters or self.path is None:
             raise UnavailableFeature("the fast reader takes paths, RFC 4180, a header at 0 or none, no blank records and no filters")
-        options = {"sep": d.delimiter, "quote": d.enclosure, "escape": d.enclosure, "multiLine": "true", "encoding": d.encoding, "header": str(d.header_offset == 0).lower()}
+        options = {"sep": d.delimiter, "quote": d.enclosure, "escape": d.enclosure, "multiLine": str(not self.single_line).lower(), "encoding": d.encoding, "header": str(d.header_offset == 0).lower()}
         df = self.spark.read.options(**options).csv(self.path)
         table = Table(df, check_header(df.columns), start=int(d.header_offset == 0))
         if header:

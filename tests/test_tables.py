@@ -235,6 +235,44 @@ def test_offsets_keep_every_row(spark, options, name, key):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _twisted(r, quote, sep, esc, n):
+    """A document of n records with quoted fields of several lines, stray enclosures, blank lines and returns."""
+    out = []
+    for _ in range(n):
+        cells = []
+        for _ in range(r.randint(1, 4)):
+            body = "".join(r.choice(["a", "é", " ", "\n", sep, quote + quote, esc + "x" if esc else "b", "\r\n"]) for _ in range(r.randint(0, 12)))
+            plain = "".join(c for c in body if c not in "\r\n" + quote + sep + esc)
+            cells.append(r.choice([quote + body + quote, " " + quote + body + quote + "tail", plain, plain, "x" + quote + plain if plain else "y"]))
+        out.append(sep.join(cells) + r.choice(["\n", "\n", "\r\n", "\r", "\n\n"]))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("size", ["100000", "300", "40"])
+@pytest.mark.parametrize(("quote", "sep", "esc"), [('"', ",", "\\"), ('"', ";;", ""), ("'", "\t", "'")])
+def test_a_file_in_pieces_is_the_whole_file(spark, tmp_path, size, quote, sep, esc):
+    import random
+
+    r = random.Random(3)
+    dialect = Dialect(delimiter=sep, enclosure=quote, escape=esc)
+    texts = [_twisted(r, quote, sep, esc, 60), "\ufeff" + _twisted(r, quote, sep, esc, 30) + "last", "\n", ""]
+    want = []
+    for i, text in enumerate(texts):
+        (tmp_path / f"f{i}.csv").write_bytes(text.encode())
+        want += [(k, x) for k, x in enumerate(parse_records(text.removeprefix("\ufeff"), dialect))]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        reader = Reader(spark, f"file://{tmp_path}", dialect=dialect)
+        assert csv_source.split_records(spark, reader.path, dialect) is not None
+        got = [(row[OFFSET], row["__fields"]) for row in reader.raw_records().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_delimiter_stats(spark):
     mixed = "foo;bar;baz\n1|2|3\n4|5|6\n7|8|9\n"
     assert checks.reader_delimiter_stats(Reader.from_string(spark, mixed), ["|", ";", "||"], 5) == {"|": 12, ";": 4, "||": 0}

@@ -11,7 +11,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from sparktab.llm.common import SPACED, WORKER_CACHE, Words
+from sparktab.llm.common import SPACED, WORKER_CACHE, HashTable, Words
 
 #: Distinct pieces that a worker remembers; beyond that it forgets those that it met only once since.
 MEMO_PIECES = 1_000_000
@@ -58,49 +58,6 @@ def _kinds(data: np.ndarray, first: np.ndarray) -> np.ndarray:
     return kind
 
 
-class _Memo:
-    """Piece hash -> row of the id table, as an open-addressed table that is probed by arrays."""
-
-    def __init__(self, limit: int):
-        size = 1 << max(10, (2 * limit).bit_length())
-        self.keys, self.rows = np.zeros(size, np.uint64), np.zeros(size, np.int32)
-        self.mask, self.used = np.uint64(size - 1), 0
-
-    def get(self, hashes: np.ndarray) -> np.ndarray:
-        """Rows, -1 for an unknown piece."""
-        out = np.full(len(hashes), -1, np.int64)
-        open_, at = None, hashes & self.mask
-        while len(at):
-            key, wanted = self.keys[at], hashes if open_ is None else hashes[open_]
-            hit = key == wanted
-            if open_ is None:
-                out[hit] = self.rows[at[hit]]
-                more = np.flatnonzero(~hit & (key != 0))
-                open_ = more
-            else:
-                out[open_[hit]] = self.rows[at[hit]]
-                more = np.flatnonzero(~hit & (key != 0))
-                open_ = open_[more]
-            at = (at[more] + np.uint64(1)) & self.mask
-        return out
-
-    def put(self, hashes: np.ndarray, rows: np.ndarray) -> None:
-        """Adds distinct pieces that are not known yet; the table is at most half full, and grows with them."""
-        self.used += len(hashes)
-        if 2 * self.used > len(self.keys):
-            taken = self.keys != 0
-            hashes, rows = np.concatenate([hashes, self.keys[taken]]), np.concatenate([rows, self.rows[taken]])
-            size = 1 << (4 * self.used - 1).bit_length()
-            self.keys, self.rows, self.mask = np.zeros(size, np.uint64), np.zeros(size, np.int32), np.uint64(size - 1)
-        at = hashes & self.mask
-        while len(hashes):
-            free = self.keys[at] == 0
-            self.keys[at[free]] = hashes[free]  # of several pieces for one place the last one stays
-            won = free & (self.keys[at] == hashes)
-            self.rows[at[won]] = rows[won]
-            hashes, rows, at = hashes[~won], rows[~won], (at[~won] + np.uint64(1)) & self.mask
-
-
 class Encoder:
     """Encodes whole texts with the tokenizers library (add_special_tokens=False).
 
@@ -133,7 +90,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.memo = _Memo(self.limit)
+        self.memo = HashTable(self.limit)
         self.keys, self.hits = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 

@@ -11,6 +11,7 @@ pass at once, as arrays.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktab.llm.common import mix, remainder, slices, without_clashes
+from sparktab.llm.common import WORKER_CACHE, HashTable, mix, remainder, slices, without_clashes
 
 #: Labelled rows per language that the model is fitted on; their whole texts are read.
 SAMPLE_ROWS = 400
@@ -31,8 +32,8 @@ _WORDS = re.compile(r"[^\W\d_]+")
 #: Signs that count as alphanumeric but are no letters, such as ½ and Ⅷ.
 _NUMBERS = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
 MAX_LANGUAGES = 1_000
-#: Words whose scores a task remembers; beyond that it starts anew.
-MEMO_WORDS = 400_000
+#: Words whose scores a worker remembers; beyond that it starts anew.
+MEMO_WORDS = 800_000
 #: Letters of a word, times languages, that go through a pass together.
 CELLS = 800_000
 #: Longer words are cut for fitting, never for scoring.
@@ -41,8 +42,10 @@ FIT_LETTERS = 1_000
 
 def letter_runs(text: str) -> list[str]:
     """Runs of letters (category L) of a text in lower case."""
-    text = text.lower()
-    return _WORDS.findall(text if text.isascii() or not _NUMBERS.search(text) else _NUMBERS.sub(" ", text))
+    words = _WORDS.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for word in words for part in _NUMBERS.sub(" ", word).split()]
 
 
 def vocabulary_pieces(path: str) -> list[str]:
@@ -73,9 +76,12 @@ class PieceModel:
     other: np.ndarray
     longest: int | None = None  # characters of the longest piece, if known
 
+    def __post_init__(self):
+        self.rows = HashTable(len(self.keys))
+        self.rows.put(self.keys, np.arange(len(self.keys)))
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, at, -1)
+        return self.rows.get(hashes)
 
 
 def _matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -272,12 +278,12 @@ def predict(docs: DataFrame, model: PieceModel | None, id_col: str = "doc_id", t
     Ties go to the language that sorts first. Every row gives one row; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    key = ("langid", uuid.uuid4().hex)
 
     def task(batches):
         model = shared.value
-        memo: dict[str, int] = {}
-        scores = np.zeros((0, 0 if model is None else len(model.languages)))
-        for part in slices(batches, "text"):
+        memo, scores = WORKER_CACHE.get(key) or ({}, np.zeros((0, 0 if model is None else len(model.languages))))
+        for part in slices(batches, "text", cached=True):
             n = part.num_rows
             best, score = ["und"] * n, np.zeros(n)
             if model is not None:
@@ -292,6 +298,7 @@ def predict(docs: DataFrame, model: PieceModel | None, id_col: str = "doc_id", t
                         scores = np.vstack([scores[:at], np.empty((len(new) + at // 2, made.shape[1]))])
                     scores[at : at + len(new)] = made
                     memo.update(zip(new, range(at, at + len(new)), strict=True))
+                    WORKER_CACHE[key] = memo, scores
                 sizes = np.fromiter(map(len, found), np.int64, n)
                 flat = np.fromiter((memo[w] for words in found for w in words), np.int64, int(sizes.sum()))
                 some = np.flatnonzero(sizes)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 class TableError(Exception):
     """Base of all errors."""
@@ -44,7 +46,20 @@ class UnavailableFeature(TableError):
 
 
 class TypeCastingFailed(TableError):
-    """A cell that cannot be cast to its declared type."""
+    """A cell that cannot be cast to its declared type: column, value (as JSON) and target say which, if known."""
+
+    column: str | None = None
+    value: str | None = None
+    target: str | None = None
+
+    @classmethod
+    def of(cls, message: str) -> TypeCastingFailed:
+        """From the message of a cast that was raised on an executor."""
+        found = re.search(r"column (\S+): cannot cast (.+) to (\w+)", message)
+        out = cls(found.group() if found else message)
+        if found:
+            out.column, out.value, out.target = found.groups()
+        return out
 
 
 class MappingFailed(TableError):

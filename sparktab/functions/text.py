@@ -190,3 +190,29 @@ class CharsetConverter:
     def __call__(self, record):
         one = lambda v: self.convert_bytes(v) if isinstance(v, bytes) else v
         return {one(k): one(v) for k, v in record.items()} if isinstance(record, dict) else [one(v) for v in record]
+
+    def convert(self, records):
+        """Records one by one; see __call__."""
+        return (self(r) for r in records)
+
+    def _filter(self) -> str:
+        from sparktab.sources.csv import is_registered, register_filter
+
+        name = f"convert.{self.input}/{self.output}".lower()
+        if not is_registered(name):
+            register_filter(name, lambda data, _, one=self.convert_bytes: one(data))
+        return name
+
+    def append_to(self, csv):
+        """A reader whose bytes, or a writer whose lines, are converted behind other filters."""
+        return csv.append_filter(self._filter())
+
+    def prepend_to(self, csv):
+        return csv.prepend_filter(self._filter())
+
+    add_to = append_to
+
+    @staticmethod
+    def add_bom_skipping_to(reader):
+        """A reader that takes the encoding of the document's byte-order mark and leaves the mark out."""
+        return reader.skip_input_bom().set_encoding("UTF-8")

@@ -18,6 +18,13 @@ from sparktab.errors import DenormalizationFailed, MappingFailed, TypeCastingFai
 from sparktab.functions.text import trim
 from sparktab.operators.inference import FLOAT, INTEGER, java_format
 
+@typing.runtime_checkable
+class TypeCasting(typing.Protocol):
+    """A cast as an object: `to_variable` gives the value of a cell as an expression that raises where it cannot be cast."""
+
+    def to_variable(self, c: Column, name: str) -> Column: ...
+
+
 #: Registered casts: by type, and by alias `@name`.
 _TYPES: dict[type, Callable] = {}
 _ALIASES: dict[str, Callable] = {}
@@ -62,6 +69,33 @@ def record(after_mapping: tuple[str, ...] = (), empty_to_null: bool = True, trim
     return mark
 
 
+def setter(column: str | int | None = None, cast: str | Callable | None = None, **options):
+    """Marks a method of one argument, whose annotation is its type; a method named set_x is one for column x without the mark."""
+
+    def mark(method):
+        method.__setter__ = {"column": column, "cast": cast, "options": options}
+        return method
+
+    return mark
+
+
+def _setters(cls: type) -> list[tuple[str, str | int, dict, typing.Any]]:
+    """(method, column, options, type) of a class's setter methods."""
+    out = []
+    for name, method in vars(cls).items():
+        own = getattr(method, "__setter__", None)
+        if not callable(method) or own is None and not name.startswith("set_"):
+            continue
+        hints = [h for k, h in typing.get_type_hints(method).items() if k != "return"]
+        if len(hints) != 1:
+            if own is None:
+                continue
+            raise MappingFailed(f"the method {name} needs one argument with a type")
+        meta = own or {"column": None, "cast": None, "options": {}}
+        out.append((name, meta["column"] if meta["column"] is not None else name.removeprefix("set_"), meta, hints[0]))
+    return out
+
+
 def _checked(ok: Column, value: Column, c: Column, name: str, kind: str) -> Column:
     message = F.concat(F.lit(f"column {name}: cannot cast "), F.coalesce(F.to_json(F.struct(c.alias("value"))), F.lit("null")), F.lit(f" to {kind}"))
     return F.when(ok, value).otherwise(F.raise_error(message))
@@ -111,7 +145,7 @@ def cast_array(c: Column, name: str, shape: str = "list", separator: str = ",",
     elif shape == "json":
         parts = F.when(c == "", F.array().cast("array<string>")).otherwise(F.from_json(c, "array<string>"))
     elif shape == "csv":
-        parts = F.udf(_csv_cells, "array<string>")(c, F.lit(separator))
+        parts = F.udf(_csv_cells, "array<string>", useArrow=True)(c, F.lit(separator))
     else:
         raise MappingFailed(f"unknown array shape {shape!r}")
     value = F.transform(parts, lambda x: x.try_cast(of)) if of != "string" else parts
@@ -146,8 +180,15 @@ class Mapper:
             raise MappingFailed(f"{cls.__name__} is not a dataclass")
         self.cls, self.options = cls, getattr(cls, "__mapping__", {"after": (), "empty_to_null": True, "trim_first": False})
         hints = typing.get_type_hints(cls)
-        self.fields = []
+        self.fields, self.setters = [], []
+        for name, column, meta, hint in _setters(cls):
+            f = types.SimpleNamespace(name=name, default=dataclasses.MISSING, default_factory=dataclasses.MISSING)
+            self.setters.append(name)
+            self.fields.append((f, meta | {"column": column}, hint))
+        own = {column for _, column, _, _ in _setters(cls)}
         for f in dataclasses.fields(cls):
+            if f.name in own and (f.default is not dataclasses.MISSING or f.default_factory is not dataclasses.MISSING):
+                continue  # its setter takes the column
             meta = f.metadata.get("cell", {})
             if meta.get("ignore"):
                 continue
@@ -174,6 +215,8 @@ class Mapper:
                 if cast not in _ALIASES:
                     raise MappingFailed(f"unknown alias {cast!r}")
                 value = _ALIASES[cast](c, f.name, **options)
+            elif isinstance(cast, TypeCasting):
+                value = (cast(**options) if isinstance(cast, type) else cast).to_variable(c, f.name)
             elif cast is not None:
                 value = cast(c, f.name, **options)
             elif kind in _TYPES:
@@ -199,13 +242,16 @@ class Mapper:
         try:
             for r in mapped.records():
                 values = {k: hints[k](v) if v is not None and isinstance(hints.get(k), type) and issubclass(hints[k], Enum) else v.date() if v is not None and hints.get(k) is datetime.date else v for k, v in r.items()}
+                late = [(k, values.pop(k)) for k in self.setters if k in values]
                 made = self.cls(**values)
+                for method, v in late:
+                    getattr(made, method)(v)
                 for hook in self.options["after"]:
                     getattr(made, hook)()
                 yield made
         except Exception as e:
             if "cannot cast" in str(e):
-                raise TypeCastingFailed(next((x.strip() for x in str(e).splitlines() if "cannot cast" in x), str(e))) from e
+                raise TypeCastingFailed.of(str(e)) from e
             raise
 
 

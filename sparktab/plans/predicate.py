@@ -27,7 +27,7 @@ def _reference(value: Any) -> list[tuple[Column, str, Any]]:
 
 
 class Col:
-    """A column against a literal, or a closure on its value (slow path)."""
+    """A column against a literal, or a closure on its value (Python, in Arrow batches)."""
 
     needs_offset = False
 
@@ -40,7 +40,7 @@ class Col:
         c, kind = table.resolve(self.column)
         if self.closure:
             f = self.closure
-            return Total(F.udf(lambda v: bool(f(v)), "boolean")(c))
+            return Total(F.udf(lambda v: bool(f(v)), "boolean", useArrow=True)(c))
         return compare(self.op, c, kind, _reference(self.value))
 
 
@@ -65,8 +65,8 @@ class Cols:
         if self.closure:
             f = self.closure
             if isinstance(self.other, (list, tuple)):
-                return Total(F.udf(lambda x, y: bool(f(x, list(y))), "boolean")(a, F.array(*[c for c, _ in others])))
-            return Total(F.udf(lambda x, y: bool(f(x, y)), "boolean")(a, others[0][0]))
+                return Total(F.udf(lambda x, y: bool(f(x, list(y))), "boolean", useArrow=True)(a, F.array(*[c for c, _ in others])))
+            return Total(F.udf(lambda x, y: bool(f(x, y)), "boolean", useArrow=True)(a, others[0][0]))
         if self.op in (Op.CONTAINS, Op.NCONTAIN, Op.STARTS_WITH, Op.ENDS_WITH):
             b = others[0][0]
             if family(kind) != "text" or family(others[0][1]) != "text":
@@ -99,12 +99,12 @@ class Offset:
         c = F.col(table.offset)
         if self.closure:
             f = self.closure
-            return Total(F.udf(lambda v: bool(f(v)), "boolean")(c))
+            return Total(F.udf(lambda v: bool(f(v)), "boolean", useArrow=True)(c))
         return compare(self.op, c, T.LongType(), _reference(self.value))
 
 
 class Where:
-    """An expression builder `columns -> Column`, a Column, or a closure on (record, offset) (slow path)."""
+    """An expression builder `columns -> Column`, a Column, or a closure on (record, offset) (Python, in Arrow batches)."""
 
     def __init__(self, f: Column | Callable, closure: bool = False):
         self.f, self.closure = f, closure
@@ -117,8 +117,8 @@ class Where:
             return Total(self.f(table))
         f, headerless = self.f, table.headerless
         record = F.col(table.fields) if headerless else F.struct(*[F.col(f"`{c}`") for c in table.columns])
-        call = lambda r, k: bool(f(list(r) if headerless else r.asDict(), k))
-        return Total(F.udf(call, "boolean")(record, F.col(table.offset)))
+        call = lambda r, k: bool(f(list(r) if headerless else r.asDict() if hasattr(r, "asDict") else dict(r), k))
+        return Total(F.udf(call, "boolean", useArrow=True)(record, F.col(table.offset)))
 
 
 def as_predicate(p) -> Predicate:

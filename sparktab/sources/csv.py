@@ -6,6 +6,7 @@ import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -186,23 +187,27 @@ def format_cell(value: object) -> str:
     return str(value)
 
 
+@lru_cache
+def _risky(dialect: Dialect) -> re.Pattern:
+    return re.compile("[ \t\r\n" + re.escape(dialect.enclosure + dialect.escape) + "]|" + re.escape(dialect.delimiter))
+
+
+@lru_cache
+def _bare(dialect: Dialect) -> re.Pattern:
+    """Enclosures that are doubled: all but those behind an escape."""
+    q = re.escape(dialect.enclosure)
+    return re.compile(f"(?<!{re.escape(dialect.escape)}){q}" if dialect.escape and dialect.escape != dialect.enclosure else q)
+
+
 def format_line(record: Iterable, dialect: Dialect, policy: str = "necessary") -> str:
     q, out = dialect.enclosure, []
+    risky, bare = _risky(dialect).search, _bare(dialect)
     for value in record:
-        text = format_cell(value)
-        risky = dialect.delimiter in text or any(c in text for c in (q, "\n", "\r", "\t", " ")) or bool(dialect.escape) and dialect.escape in text
-        if policy == "none" or policy == "necessary" and not risky:
+        text = value if type(value) is str else format_cell(value)
+        if policy == "none" or policy == "necessary" and not risky(text):
             out.append(text)
-        elif dialect.escape and dialect.escape != q:
-            done, escaped = "", False
-            for c in text:
-                if c == q and not escaped:
-                    done += q
-                done += c
-                escaped = c == dialect.escape if not (escaped and c != dialect.escape) else False
-            out.append(q + done + q)
         else:
-            out.append(q + text.replace(q, q + q) + q)
+            out.append(q + (bare.sub(q + q, text) if q in text else text) + q)
     return dialect.delimiter.join(out) + dialect.eol
 
 
@@ -560,7 +565,8 @@ def cell_expression(c: Column, kind: T.DataType, dialect: Dialect, policy: str =
         text = c.cast("string")
     text = F.coalesce(text, F.lit(""))
     q = dialect.enclosure
-    quoted = F.concat(F.lit(q), F.replace(text, F.lit(q), F.lit(q + q)), F.lit(q))
+    bare = F.regexp_replace(text, F.lit(f"(?<!\\Q{dialect.escape}\\E)\\Q{q}\\E"), F.lit(q + q)) if dialect.escape and dialect.escape != q else F.replace(text, F.lit(q), F.lit(q + q))
+    quoted = F.concat(F.lit(q), bare, F.lit(q))
     if policy == "all":
         return quoted
     if policy == "none":
@@ -569,21 +575,57 @@ def cell_expression(c: Column, kind: T.DataType, dialect: Dialect, policy: str =
     return F.when(risky, quoted).otherwise(text)
 
 
-def write_csv(table: Table, path: str, dialect: Dialect | None = None, policy: str = "necessary", header: bool = False, single: bool = False) -> None:
-    """Byte-exact lines by one expression and the text sink; `single` gives one ordered file."""
+def write_csv(table: Table, path: str, dialect: Dialect | None = None, policy: str = "necessary", header: bool = False, single: bool = False, bom: str | None = None, filters: tuple[tuple[str, object], ...] = (), validators: dict[str, Callable] | None = None, formatters: tuple[Callable, ...] = ()) -> None:
+    """Byte-exact lines by one expression and the text sink, one file for each partition; `single` gives one ordered file.
+
+    header and bom begin each file. formatters: DataFrame -> DataFrame. validators: table -> boolean
+    expression; a record that fails one stops the job. filters: registered ones, applied to the bytes of
+    each line without its end. The end of line may be any text; lines are encoded as the dialect says.
+    """
     d = dialect or Dialect(escape="")
-    if d.eol not in ("\n", "\r\n", "\r"):
-        raise UnavailableFeature("distributed files end lines by LF, CR LF or CR")
+    for f in formatters:
+        table = table.transform(f)
+    table = table._in_order() if single else table
     kinds = {f.name: f.dataType for f in table.df.schema.fields}
     cells = [cell_expression(F.col(f"`{c}`"), kinds[c], d, policy) for c in table.columns]
-    df = (table._in_order() if single else table).df.select(F.concat_ws(d.delimiter, *cells).alias("value"))
-    if header:
-        line = format_line(table.columns, replace(d, eol=""), policy)
-        first = table.df.sparkSession.createDataFrame([(line,)], "value string")
-        if not single:
-            raise UnavailableFeature("a header needs a single file")
-        df = first.coalesce(1).unionByName(df.coalesce(1)).coalesce(1)
-    (df.coalesce(1) if single else df).write.option("lineSep", d.eol).text(path)
+    line = F.concat_ws(d.delimiter, *cells)
+    for name, build in (validators or {}).items():
+        failed = F.concat(F.lit(f"the record was rejected by `{name}`: "), F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns])))
+        line = F.when(F.coalesce(build(table), F.lit(False)), line).otherwise(F.raise_error(failed))
+    df = table.df.select(line.alias("value"))
+    df = df.coalesce(1) if single else df
+    encoding, run = d.encoding, [(_FILTERS[n], p) for n, p in filters]
+    first = [format_line(table.columns, replace(d, eol=""), policy)] if header else []
+    if first or bom or run or encoding.upper() not in ("UTF-8", "UTF8"):
+        mark, end = BOMS[Bom.from_encoding(bom)] if bom else b"", d.eol.encode(encoding)
+
+        def dressed(texts: list[str]) -> list[bytes]:
+            out = [x.encode(encoding) for x in texts]
+            for f, params in run:
+                out = [f(x, params) for x in out]
+            return out
+
+        def task(batches):
+            lead = mark + b"".join(x + end for x in dressed(first))
+            for batch in batches:
+                out = dressed(batch.column(0).to_pylist())
+                if out:
+                    out[0], lead = lead + out[0], b""
+                    yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
+
+        if single and (first or bom) and table.is_empty():
+            lead = bytearray((mark + b"".join(x + end for x in dressed(first))).removesuffix(end))
+            df = df.sparkSession.createDataFrame([(lead,)], "value binary").select(F.col("value").cast("string").alias("value"))
+        else:
+            df = df.mapInArrow(task, "value binary").select(F.col("value").cast("string").alias("value"))  # the bytes as they are
+    df.write.option("lineSep", d.eol if encoding.upper().startswith(("UTF-8", "UTF8", "ISO", "WINDOWS", "US")) else _bytes_text(d.eol.encode(encoding))).text(path)
+
+
+def _bytes_text(data: bytes) -> str:
+    try:
+        return data.decode()
+    except UnicodeDecodeError as e:
+        raise UnavailableFeature("distributed files have ends of line that are also UTF-8") from e
 
 
 class Writer:
@@ -674,6 +716,41 @@ class Writer:
         return download_headers(filename), self.to_bytes()
 
 
+class SwapDelimiter:
+    """A document with a delimiter of several characters, by replacing it, within quotes too."""
+
+    @staticmethod
+    def add_to(csv: Reader | Writer, delimiter: str) -> Reader | Writer:
+        """A reader or writer whose document has `delimiter` where its own dialect has the delimiter of one byte."""
+        own = csv.dialect.delimiter
+        if len(own.encode()) != 1 or len(delimiter.encode()) < 2 or own in delimiter:
+            raise InvalidArgument("a delimiter of several bytes takes the place of one of one byte")
+        reads = isinstance(csv, Reader)
+        name = f"swap.{'read' if reads else 'write'}.{own}.{delimiter}"
+        a, b = (delimiter.encode(), own.encode()) if reads else (own.encode(), delimiter.encode())
+        if name not in _FILTERS:
+            register_filter(name, lambda data, _: data.replace(a, b))
+        return csv.append_filter(name)
+
+
+def rfc4180_field(csv: Reader | Writer) -> Reader | Writer:
+    """Rewrites an escaped enclosure as a doubled one; deprecated, an empty escape does it better."""
+    e, q = csv.dialect.escape, csv.dialect.enclosure
+    if not e:
+        return csv
+    name = f"rfc4180.{e}{q}"
+    if name not in _FILTERS:
+        register_filter(name, lambda data, _, a=(e + q).encode(), b=(q + q).encode(): data.replace(a, b))
+    return csv.append_filter(name)
+
+
+def enclose_field(writer: Writer, sequence: str = "\t\x1f") -> Writer:
+    """Encloses every cell; deprecated, force_enclosure does it. The sequence must hold a character that needs an enclosure."""
+    if not any(c in sequence for c in "\t\x1f \r\n"):
+        raise InvalidArgument("the sequence does not force an enclosure")
+    return writer.force_enclosure()
+
+
 def download_headers(filename: str, kind: str = "text/csv") -> dict[str, str]:
     """HTTP headers of a file download; a name that is not ASCII goes into filename*."""
     from urllib.parse import quote

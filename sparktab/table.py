@@ -221,9 +221,15 @@ class Table:
 
     def sorted(self, *keys) -> Table:
         """A stable sort: ties keep the order of offsets where the table has them, else of its order key."""
-        columns = [c for k in keys for c in k.columns(self)]
+        keys = [x for k in keys for x in (k.keys if hasattr(k, "keys") else (k,))]
+        table, made = self, []
+        for i, key in enumerate(keys):
+            table, key = key.prepared(table, f"__rank{i}")
+            made.append(key)
+        columns = [c for k in made for c in k.columns(table)]
         ties = [F.col(self.offset)] if self.offset else [F.col(k) for k in self.order_key or ()]
-        return self._with(self.df.orderBy(*columns, *ties), ordered=(*columns, *ties))
+        df = table.df.orderBy(*columns, *ties)
+        return self._with(df.drop(*[c for c in df.columns if c.startswith("__rank")]), ordered=(*columns, *ties))
 
     def _in_order(self) -> Table:
         """The table in an order of its own: sorted, or by offset, or by order key."""

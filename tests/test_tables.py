@@ -3,26 +3,28 @@
 import dataclasses
 import datetime
 import enum
+import functools
 import math
+import pathlib
 import sqlite3
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from sparktab import queries
+from sparktab import queries, source_queries  # noqa: F401
 from sparktab.errors import CannotInsertRecord, FragmentNotFound, InvalidArgument, QueryException, SyntaxProblem, TypeCastingFailed
 from sparktab.functions.compare import Op
 from sparktab.functions.text import Bom, EnumFormatter
 from sparktab.operators import checks, mapping
 from sparktab.operators.buffer import Buffer
 from sparktab.operators.inference import BooleanField, Inspector, NumericField
-from sparktab.plans.predicate import Col, Criteria, Offset
+from sparktab.plans.predicate import Col, Cols, Criteria, Offset, Where
 from sparktab.plans.statement import Statement
 from sparktab.sources import csv as csv_source
 from sparktab.sources import rdbms
 from sparktab.sources.convert import HtmlConverter, JsonConverter, XmlConverter
-from sparktab.sources.csv import Dialect, Reader, Writer, format_line, parse_records, register_filter, unregister_filter
+from sparktab.sources.csv import Dialect, Reader, Writer, format_line, parse_records, register_filter, unregister_filter, write_csv
 from sparktab.table import OFFSET, Table
 
 WEATHER = "date,temperature,place\n2011-01-01,1,Galway\n2011-01-02,-1,Galway\n2011-01-03,0,Galway\n2011-01-01,6,Berkeley\n2011-01-02,8,Berkeley\n2011-01-03,5,Berkeley\n"
@@ -304,6 +306,43 @@ def test_writer_encoding_and_filters():
         JsonConverter().with_depth(1).encode([{"a": {"b": {"c": 1}}}])
 
 
+@pytest.mark.parametrize("ranked", [100_000, 7])
+def test_comparator_sorts_values(spark, monkeypatch, ranked):
+    from sparktab.plans import order
+
+    monkeypatch.setattr(order, "RANKED", ranked)
+    rows = [{"w": None if i % 11 == 0 else f"{i * 7919 % 50}" + "x" * (i % 3), "i": i} for i in range(120)]
+    table = Table.from_records(spark, rows)
+    compare = lambda a, b: (a is not None) - (b is not None) if a is None or b is None else len(a) - len(b)
+    for direction, turn in (("asc", False), ("desc", True)):
+        got = [r["i"] for r in table.sorted(order.CompareOn("w", compare, direction)).records()]
+        key = functools.cmp_to_key(lambda a, b: (compare(a["w"], b["w"]) * (-1 if turn else 1)) or a["i"] - b["i"])
+        assert got == [r["i"] for r in sorted(rows, key=key)]
+
+
+def test_closures_get_plain_values(spark, weather):
+    assert keys(weather.filter(Where(lambda r, k: r["place"] == "Galway" and k > 1, closure=True))) == [2, 3]
+    headerless = Table.from_records(spark, [["a", "b"], ["c"], [None, "d"]])
+    assert keys(headerless.filter(Where(lambda r, k: len(r) == 2 and r[0] is None, closure=True))) == [2]
+    assert keys(weather.filter(Cols("date", lambda a, b: a.endswith("1") and b[1] == "6", ["place", "temperature"]))) == [4]
+
+
+def test_distributed_files_are_the_writer_s(spark, tmp_path):
+    rows = [{"a": "x y", "b": 'q"q', "c": "p\\\"z"}, {"a": None, "b": "é", "c": "1"}, {"a": "", "b": "l\nm", "c": "\\"}]
+    table = Table.from_records(spark, rows)
+    for i, (d, more) in enumerate([(Dialect(escape=""), {}), (Dialect(), {}), (Dialect(eol="\r\n", delimiter=";", enclosure="'"), {}), (Dialect(escape="", encoding="ISO-8859-1"), {}), (Dialect(escape=""), {"bom": "UTF-8"})]):
+        for policy, name in (("necessary", "necessary_enclosure"), ("all", "force_enclosure"), ("none", "no_enclosure")):
+            path = f"{tmp_path}/{i}{policy}"
+            write_csv(table, f"file://{path}", d, policy, header=True, single=True, **more)
+            w = getattr(Writer(d), name)().set_output_bom(more.get("bom"))
+            w.insert_all([table.columns, *rows])
+            assert b"".join(p.read_bytes() for p in sorted(pathlib.Path(path).glob("part-*"))) == w.to_bytes()
+    write_csv(table.filter(Col("a", "=", "none")), f"file://{tmp_path}/empty", Dialect(escape=""), header=True, single=True)
+    assert b"".join(p.read_bytes() for p in pathlib.Path(f"{tmp_path}/empty").glob("part-*")) == b"a,b,c\n"
+    with pytest.raises(Exception, match="rejected by `one`"):
+        write_csv(table, f"file://{tmp_path}/bad", validators={"one": lambda t: F.col("c") == "1"})
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()

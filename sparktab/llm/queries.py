@@ -10,8 +10,6 @@ from sparktab.llm import decontam, langid, license, ngramlm, packing, quality, s
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-#: The table has no file names: a document of at most so many characters counts as a licence file of its folder.
-LICENCE_FILE_CHARS = 300
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +29,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no file names; source and language stand for folders, and a licence file is one that a template covers."""
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return license.scan(table(spark, sf_dir, "documents"), "doc_id", path, is_licence_file=F.col("n_chars") <= LICENCE_FILE_CHARS)
+    return license.scan(table(spark, sf_dir, "documents"), "doc_id", path)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,12 +253,55 @@ def test_bad_host_goes_and_small_host_is_shrunk(spark):
     assert got["tiny"].host_rate < 1
 
 
+MIT_TEXT = license.TEMPLATES["MIT"][-1]
+
+
+def wrapped(text, n, lead):
+    words = text.split()
+    return "\n".join(lead + " ".join(words[i : i + n]) for i in range(0, len(words), n))
+
+
 def test_licences_and_nearest_ancestor(spark):
-    files = [("LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/LICENSE.txt", "Released under the MIT License."), ("a/b/c/x.py", "print(1)"), ("a/y.py", "y"), ("z.py", None), ("q/w.py", "some words\nThis work is licensed under the GNU General Public License, version 3."), ("a/b/COPYING", "nothing of note")]
+    files = [("LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/LICENSE.txt", "Copyright (c) 2020 Somebody\n\n" + wrapped(MIT_TEXT, 9, "")), ("a/b/c/x.py", "print(1)"), ("a/y.py", "y"), ("z.py", None), ("q/w.py", "some words\nThis work is licensed under the GNU General Public License, version 3."), ("a/b/COPYING", "nothing of note")]
+    files += [("q/v.c", "/*\n" + wrapped(license.TEMPLATES["GPL-2.0"][-1], 7, " * ") + "\n */\nint main() { return 0; }\n" + prose(80, 71)), ("q/u.txt", prose(60, 72) + " as said, it is Licensed under the BSD 2-Clause License. " + prose(60, 73)), ("d/whatever", wrapped(license.TEMPLATES["ISC"][-1], 5, "")), ("d/e.py", "e")]
+    files += [(f"o/{i}.py", prose(30, 500 + i)) for i in range(30)]
     df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "id long, path string, text string")
     got = {r.path: r for r in license.scan(df, "id", F.col("path")).collect()}
-    assert {p: r.license for p, r in got.items()} == {"LICENSE": "Apache-2.0", "a/LICENSE.txt": "MIT", "a/b/c/x.py": "MIT", "a/y.py": "MIT", "z.py": "Apache-2.0", "q/w.py": "GPL-3.0", "a/b/COPYING": "MIT"}
+    want = {"LICENSE": "Apache-2.0", "a/LICENSE.txt": "MIT", "a/b/c/x.py": "MIT", "a/y.py": "MIT", "z.py": "Apache-2.0", "q/w.py": "GPL-3.0", "a/b/COPYING": "MIT", "q/v.c": "GPL-2.0", "q/u.txt": "BSD-2-Clause", "d/whatever": "ISC", "d/e.py": "ISC"}
+    assert {p: got[p].license for p in want} == want and {got[f"o/{i}.py"].license for i in range(30)} == {"Apache-2.0"}
     assert got["q/w.py"].line_no == 2 and got["q/w.py"].cosine > 0.99 and got["a/b/c/x.py"].license_dir == "a" and got["z.py"].license_dir == ""
+    assert got["q/v.c"].line_no == 2 and got["d/whatever"].coverage > 0.9 and got["q/u.txt"].coverage < 0.1
+
+
+def test_licence_cosine_is_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(license, "RARE", 10)
+    r = random.Random(9)
+    templates = {"X": ["one two three four", "five six five"], "Y": ["one two nine", "ten"]}
+    some = "one two three four five six nine ten eleven twelve the of".split()
+    texts = [" ".join(r.choice(some) for _ in range(r.randint(0, 14))) for _ in range(150)] + [None, "", "Ten!", "one, TWO\nnine"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    bags = [item_words(t) for t in texts]
+    df_of = Counter(w for b in bags for w in set(b))
+    n = len(texts)
+    idf = lambda w: math.log((1 + n) / (1 + max(df_of[w], n // 10))) + 1
+    vector = lambda words: {w: c * idf(w) for w, c in Counter(words).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    got = {r.id: (r.own_license, r.cosine) for r in license.own_licences(df, templates).collect()}
+    for i, words in enumerate(bags):
+        best = []
+        for name, forms in sorted(templates.items()):
+            for form in forms:
+                t = vector(item_words(form))
+                size = len(item_words(form))
+                for k in range(max(1, len(words) - size + 1) if words else 0):
+                    v = vector(words[k : k + size])
+                    cosine = sum(x * t.get(w, 0) for w, x in v.items()) / norm(v) / norm(t)
+                    if cosine >= license.THRESHOLD:
+                        best.append((-round(cosine, 9), name))
+        if best:
+            assert got[i][0] == min(best)[1] and math.isclose(got[i][1], -min(best)[0], abs_tol=1e-8)
+        else:
+            assert got[i] == (None, None)
 
 
 def test_sharding_fill_is_taken_in_turns():

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktab.llm.common import Words, hidden, materialize, mix, segment_sums, slices, without_clashes
+from sparktab.llm.common import Words, few, hidden, materialize, mix, segment_sums, slices, without_clashes
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -99,16 +99,19 @@ def host_verdicts(rows: DataFrame, host_col: str, failed_col: str = "base_failed
     the corpus, and every host gets nearly the corpus's rate.
     """
     hosts = rows.groupBy(F.col(host_col).alias("host")).agg(F.count("*").alias("host_docs"), F.sum(F.col(failed_col).cast("long")).alias("host_failed"))
+    hosts = materialize(hosts, "hosts")
     hosts = hosts.withColumn("p", F.col("host_failed") / F.col("host_docs"))
     n = F.sum("host_docs")
     sums = hosts.agg(n.alias("n"), (F.sum("host_failed") / n).alias("mean"), F.sum(F.col("host_docs") * F.col("p") * F.col("p")).alias("square"), F.count("*").alias("hosts"), (n - F.sum(F.col("host_docs") * F.col("host_docs")) / n).alias("spread"))
-    # method of moments for the variance between hosts
-    mean, hosts_n = F.col("mean"), F.col("hosts")
-    within = mean * (1 - mean) * (hosts_n - 1)
-    between = F.when(F.col("spread") > 0, (F.col("square") - F.col("n") * mean * mean - within) / F.col("spread")).otherwise(F.lit(0.0))
-    strength = F.when(between > 0, F.least(F.greatest(mean * (1 - mean) / between - 1, F.lit(0.0)), F.col("n").cast("double"))).otherwise(F.col("n").cast("double"))
-    prior = sums.select(mean.alias("mean"), strength.alias("strength"))
-    out = hosts.join(F.broadcast(prior))  # one row of sums for each host
+    found = sums.first()  # one row of sums
+    mean, strength = 0.0, 0.0
+    if found["n"]:
+        # method of moments for the variance between hosts
+        mean, n = found["mean"], float(found["n"])
+        spread, within = found["spread"], mean * (1 - mean) * (found["hosts"] - 1)
+        between = (found["square"] - n * mean * mean - within) / spread if spread > 0 else 0.0
+        strength = min(max(mean * (1 - mean) / between - 1, 0.0), n) if between > 0 else n
+    out = hosts.withColumn("mean", F.lit(mean)).withColumn("strength", F.lit(strength))
     a = F.col("host_failed") + F.col("mean") * F.col("strength")
     total = F.col("host_docs") + F.col("strength")
     out = out.withColumn("host_rate", a / total)
@@ -116,6 +119,13 @@ def host_verdicts(rows: DataFrame, host_col: str, failed_col: str = "base_failed
     return out.select("host", "host_docs", "host_failed", "host_rate", (F.col("host_rate") - margin * deviation > rate).alias("host_rejected"))
 
 
+def _joined(rows: DataFrame, verdicts: DataFrame, host: str) -> DataFrame:
+    """rows with host_rate and host_rejected. Many hosts are not broadcast: then a hot one is a skewed join of two written tables."""
+    verdicts = verdicts.select(F.col("host").alias("of"), "host_rate", "host_rejected")
+    verdicts = F.broadcast(verdicts) if few(verdicts, "of") else materialize(verdicts, "verdicts")
+    return rows.join(verdicts, F.col(host).eqNullSafe(F.col("of")))
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row for each row: id, host, the counts, base_failed, host_rate, kept.
 
@@ -125,8 +135,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = without_clashes(docs, id_col, text_col, host_col).toDF("id", "text", "host")
     made = materialize(add_counts(rows).drop("text"), "counts")
-    verdict = host_verdicts(made, "host").withColumnRenamed("host", "of").select("of", "host_rate", "host_rejected")
-    out = made.join(verdict, F.col("host").eqNullSafe(F.col("of"))).drop("of")
+    out = _joined(made, host_verdicts(made, "host"), "host").drop("of")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).withColumnRenamed("id", id_col)
 
 
@@ -140,6 +149,5 @@ def good_documents(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     text, host = (f"c{names.index(c)}" for c in (text_col, host_col))
     rows = hidden(docs)
     made = materialize(add_counts(rows, text), "counted")
-    verdict = host_verdicts(made, host).select(F.col("host").alias("of"), "host_rejected")
-    kept = made.where("not base_failed").join(verdict, F.col(host).eqNullSafe(F.col("of"))).where("not host_rejected")
+    kept = _joined(made.where("not base_failed"), host_verdicts(made, host), host).where("not host_rejected")
     return kept.select(rows.columns).toDF(*names)

@@ -693,6 +693,24 @@ def test_trie_finds_successors_of_contexts():
         assert got.tolist() == [at.get(x, -1) for x in some]
 
 
+def test_bad_host_in_the_query_and_its_sql(spark, tmp_path):
+    import duckdb
+
+    good, bad = prose(80, 51), "too short"
+    rows = [(good, "good")] * 95 + [(bad, "good")] * 5 + [(bad, "bad")] * 95 + [(good, "bad")] * 5 + [(bad, "tiny"), (good, "tiny"), (good, None), (None, "good")] + [(good if k else bad, f"h{i}") for i in range(20) for k in range(20)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string")
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.op3_quality(spark, f"file://{tmp_path}").collect())
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.OP3_SQL)
+    at = [d[0] for d in want.description]
+    names = ["doc_id", *quality.COUNTS, "base_failed", "kept"]
+    assert got == sorted(tuple(r[at.index(n)] for n in names) for r in want.fetchall())
+    kept = {r[0] for r in got if r[-1]}
+    assert not kept & set(range(100, 200)) and {i for i, (t, s) in enumerate(rows) if t == good and s != "bad"} == kept
+
+
 @pytest.mark.parametrize("name", ["quality", "simhash", "substring", "decontamination", "packing"])
 def test_pipeline_stages_on_awkward_tables(spark, bench, name, tmp_path):
     import corpus_pipeline

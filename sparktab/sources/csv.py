@@ -211,6 +211,10 @@ def format_line(record: Iterable, dialect: Dialect, policy: str = "necessary") -
     return dialect.delimiter.join(out) + dialect.eol
 
 
+def _plain_path(path: str) -> str:
+    return re.sub(r"^file:/*", "/", path)
+
+
 def _record_batches(records: Iterable[tuple[int, list]]) -> Iterator[pa.RecordBatch]:
     offsets, fields = [], []
     for offset, record in records:
@@ -539,14 +543,40 @@ class Reader:
     def count(self) -> int:
         return self.to_table().count()
 
+    def _stream(self) -> Iterator[bytes]:
+        """The bytes of the documents in order, line by line; a path is not held on the driver."""
+        if self.content is not None:
+            yield self.content
+            return
+        sizes = {r["path"]: r["length"] for r in self.spark.read.format("binaryFile").load(self.path).select("path", "length").collect()}
+        lines = self.spark.read.format("text").option("lineSep", "\n").load(self.path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("line"))
+        left = {_plain_path(k): n for k, n in sizes.items()}
+        for r in lines.orderBy("file", "block", "at").toLocalIterator():
+            # only the last line may have no line feed, which the length tells
+            line = bytes(r["line"]) + b"\n"
+            line = line[: left[_plain_path(r["file"])]]
+            left[_plain_path(r["file"])] -= len(line)
+            yield line
+
     def text(self) -> str:
-        return b"".join(bytes(r["content"]) for r in self._bytes().toLocalIterator()).decode(self.dialect.encoding, "replace")
+        """The whole document, which must fit into the driver's memory; `chunk` streams it."""
+        return b"".join(self._stream()).decode(self.dialect.encoding, "replace")
 
     def chunk(self, length: int) -> Iterator[bytes]:
         if length < 1:
             raise InvalidArgument("a chunk has one byte or more")
-        data = b"".join(bytes(r["content"]) for r in self._bytes().toLocalIterator())
-        return (data[i : i + length] for i in range(0, len(data), length))
+
+        def cut():
+            held = bytearray()
+            for piece in self._stream():
+                held += piece
+                while len(held) >= length:
+                    yield bytes(held[:length])
+                    del held[:length]
+            if held:
+                yield bytes(held)
+
+        return cut()
 
     def seek(self, n: int) -> list | None:
         if n < 0:

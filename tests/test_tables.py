@@ -275,6 +275,16 @@ def test_a_file_in_pieces_is_the_whole_file(spark, tmp_path, size, quote, sep, e
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_chunks_are_the_bytes(spark, tmp_path):
+    data = [b"a,b\n1,2\r\n\n", b"x\xff\n" * 50 + b"no end", b"\n", b""]
+    for i, x in enumerate(data):
+        (tmp_path / f"{i}.csv").write_bytes(x)
+    reader = Reader.from_path(spark, f"file://{tmp_path}")
+    for n in (1, 7, 10_000):
+        parts = list(reader.chunk(n))
+        assert b"".join(parts) == b"".join(data) and all(len(p) == n for p in parts[:-1])
+
+
 def test_delimiter_stats(spark):
     mixed = "foo;bar;baz\n1|2|3\n4|5|6\n7|8|9\n"
     assert checks.reader_delimiter_stats(Reader.from_string(spark, mixed), ["|", ";", "||"], 5) == {"|": 12, ";": 4, "||": 0}

@@ -175,7 +175,7 @@ def training_totals(rows: DataFrame, shards: int) -> tuple[int, int]:
 
 def _block(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 

@@ -21,6 +21,10 @@ class ColumnConsistency:
         n = self.n if self.n >= 0 else first_width
         return F.lit(True) if n is None else F.size(fields) == n
 
+    def failures(self, table):
+        """The records of a headerless table that have another number of fields; -1 takes that of its first record."""
+        return table._with(table.df.where(~self.expression(F.col(table.fields), table.width() if self.n < 0 else None)))
+
     def __call__(self, record) -> bool:
         if self.n == -1:
             self.n = len(record)

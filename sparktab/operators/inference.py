@@ -128,6 +128,13 @@ def DateTimeField(format: str, timezone: str = "UTC", threshold: float = 0.8) ->
     return Field("datetime", parse, threshold, format, {"format": format, "timezone": timezone})
 
 
+DateTimeField.machine = lambda timezone="UTC", threshold=0.8: [DateTimeField(f, timezone, threshold) for f in MACHINE_FORMATS]
+DateTimeField.localized = lambda timezone="UTC", threshold=0.7: [DateTimeField(f, timezone, threshold) for f in LOCAL_FORMATS]
+DateTimeField.common = lambda timezone="UTC": [*DateTimeField.machine(timezone), *DateTimeField.localized(timezone)]
+DateTimeField.timestamp = lambda threshold=0.8: DateTimeField("U", threshold=threshold)
+DateTimeField.from_format = DateTimeField
+
+
 def TimeField(precision: str = "any", threshold: float = 0.8) -> Field:
     """HH, HH:MM or HH:MM:SS with any one-byte separator, as padded text. precision: hours, minutes, seconds or any."""
     shapes = {"hours": r"^(\d{1,2})$", "minutes": r"^(\d{1,2})(\D)(\d{1,2})$", "seconds": r"^(\d{1,2})(\D)(\d{1,2})\2(\d{1,2})$"}
@@ -216,8 +223,7 @@ class FieldList:
 
     @classmethod
     def default(cls) -> FieldList:
-        dates = [DateTimeField(f) for f in MACHINE_FORMATS] + [DateTimeField(f, threshold=0.7) for f in LOCAL_FORMATS]
-        return cls((BooleanField(), NumericField(), *dates, TimeField(), JsonField(), *StringField.built_ins()))
+        return cls((BooleanField(), NumericField(), *DateTimeField.common(), TimeField(), JsonField(), *StringField.built_ins()))
 
     def append(self, *f: Field) -> FieldList:
         return FieldList(self.fields + f)

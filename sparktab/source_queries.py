@@ -20,6 +20,7 @@ from sparktab.functions.text import BOMS, Bom, CharsetConverter, EnumFormatter,
 from sparktab.operators import inference as I  # noqa: E741, N812
 from sparktab.operators import mapping
 from sparktab.operators.buffer import Buffer
+from sparktab.operators.checks import ColumnConsistency
 from sparktab.plans.order import CompareOn, SortOn
 from sparktab.plans.predicate import Col, Cols, Offset, Where
 from sparktab.plans.statement import Statement
@@ -232,6 +233,19 @@ def _registry(t):
     return _rows(t, [(*row, csv.is_registered(name))], "registered boolean, listed boolean, attached boolean, detached boolean, called string, writes boolean, gone boolean")
 
 
+@query("q_column_consistency_first", "select n_nationkey::bigint as at, 2::integer as fields from nation where n_nationkey % 5 = 3")
+def _consistent(t):
+    text = "".join(f"{r['n_nationkey']},{r['n_name']}" + ("" if r["n_nationkey"] % 5 == 3 else f",{r['n_regionkey']}") + "\n" for r in t("nation").records())
+    return ColumnConsistency().failures(_reader(t, text, None).to_table()).df.select(F.col(OFFSET).alias("at"), F.size(FIELDS).alias("fields"))
+
+
+@query("q_date_formats", "select o_orderkey, o_orderdate::timestamp as machine, date_trunc('day', o_orderdate)::timestamp as localized, date_trunc('second', o_orderdate)::timestamp as stamp from orders")
+def _date_formats(t):
+    d = F.col("o_orderdate")
+    parse = lambda fields, c: F.coalesce(*[f.parse(c) for f in fields])
+    return t("orders").df.select("o_orderkey", parse(I.DateTimeField.machine(), F.date_format(d, "yyyy-MM-dd HH:mm:ss")).alias("machine"), I.DateTimeField.from_format("d.m.Y").parse(F.date_format(d, "dd.MM.yyyy")).alias("localized"), I.DateTimeField.timestamp().parse(F.unix_timestamp(d).cast("string")).alias("stamp"))
+
+
 # writers
 
 

@@ -116,6 +116,12 @@ def parse_records(text: str, dialect: Dialect) -> Iterator[list[str | None]]:
             at += 2 if text.startswith("\r\n", at) else 1
 
 
+def _single(c: str) -> str:
+    if len(c.encode()) != 1:
+        raise InvalidArgument("the delimiter must be a single byte")
+    return c
+
+
 class LineScanner:
     """Finds the ends of records in lines that are read one by one, with whether a quoted field is open between them."""
 
@@ -413,7 +419,8 @@ class Reader:
         return replace(self, dialect=replace(self.dialect, **more))
 
     def set_delimiter(self, c: str) -> Reader:
-        return self._set(delimiter=c)
+        """A single byte; a dialect takes a delimiter of several characters as well."""
+        return self._set(delimiter=_single(c))
 
     def set_enclosure(self, c: str) -> Reader:
         return self._set(enclosure=c)
@@ -458,6 +465,12 @@ class Reader:
     def has_filter(self, name: str) -> bool:
         return any(f[0] == name for f in self.read_filters)
 
+    def supports_read_filters(self) -> bool:
+        return True
+
+    def supports_write_filters(self) -> bool:
+        return False
+
     def fast(self, single_line: bool = False) -> Reader:
         """Spark's own reader, for RFC 4180 documents with a header at 0 or none: empty fields become null.
 
@@ -716,6 +729,24 @@ class Writer:
     def has_filter(self, name: str) -> bool:
         return any(f[0] == name for f in self.filters)
 
+    def supports_read_filters(self) -> bool:
+        return False
+
+    def supports_write_filters(self) -> bool:
+        return True
+
+    def set_delimiter(self, c: str) -> Writer:
+        self.dialect = replace(self.dialect, delimiter=_single(c))
+        return self
+
+    def set_enclosure(self, c: str) -> Writer:
+        self.dialect = replace(self.dialect, enclosure=c)
+        return self
+
+    def set_escape(self, c: str) -> Writer:
+        self.dialect = replace(self.dialect, escape=c)
+        return self
+
     def set_encoding(self, name: str) -> Writer:
         self.dialect = replace(self.dialect, encoding=name)
         return self

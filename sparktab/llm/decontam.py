@@ -17,7 +17,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktab.llm.common import ALNUM, Words, materialize, slices, without_clashes
@@ -218,6 +218,14 @@ def _hits(docs: DataFrame, test: TestItems) -> DataFrame:
     return docs.mapInArrow(task, f"{fields}, n_words long, {_SPANS}")
 
 
+def _with_span(done: Column, span: Column) -> Column:
+    """Sorted spans with one more, which is joined to the last one if they meet."""
+    last = F.element_at(done, -1)
+    joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
+    meets = (F.size(done) > 0) & (last["end"] >= span["start"])
+    return F.when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(span)))
+
+
 def _with_verdict(rows: DataFrame) -> DataFrame:
     """The columns ADDED from spans (sorted, apart), items and best."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -260,7 +268,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         merged = parts.groupBy("row_no").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.min_by("best", better).alias("best"))
         apart = F.aggregate(
             "spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
-            lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(s))),
+            _with_span,
         )
         merged = merged.withColumn("spans", apart)
         counted = _hits(keyed, TestItems([], window)).drop("spans", "items", "best").join(merged, "row_no", "left").drop("row_no")
@@ -289,7 +297,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW,
                 words, lo, hi, *_ = shard.search(test)
                 some = np.flatnonzero(words >= least)
                 text, start = shard.first_places(lo[some], hi[some], part.column(0))
-                yield pa.record_batch([pa.array([test.names[k] for k in test.item[some].tolist()], pa.string()), pa.array(some - test.begin[some]), pa.array(words[some]), part.column(0).take(pa.array(text)), pa.array(start)], names=["item", "item_start", "n_words", "id", "start"])
+                names = pa.array([test.names[k] for k in test.item[some].tolist()], pa.string())
+                cells = [names, pa.array(some - test.begin[some]), pa.array(words[some]), part.column(0).take(pa.array(text)), pa.array(start)]
+                yield pa.record_batch(cells, names=["item", "item_start", "n_words", "id", "start"])
 
         return rows.mapInArrow(task, f"item string, item_start long, n_words long, id {kind}, start long")
 

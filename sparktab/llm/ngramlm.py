@@ -39,6 +39,7 @@ SHARD_BYTES = 16 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 #: The start of a text, which is only a context.
 START = np.uint64(0x14057B7EF767814F)
+_SCORES = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 #: Keys that a task holds before it merges them.
 _HELD = 1 << 21
 
@@ -266,13 +267,13 @@ def lm_scores(docs: DataFrame, held: object, id_col: str = "doc_id", text_col: s
     held: boolean expression; rows for which it is true are scored but teach nothing. A null text
     is empty: one token, the end. Without training rows every word has the same probability 1.
     Repeated ids give repeated rows; an empty table gives an empty table; other columns are not
-    read. Keys of pairs and triples have so many bits that about one in 10^5 at most shares its key
+    read. Keys of pairs and triples have so many bits that about two in 10^5 share their key
     with another one; those of words have 64.
     """
     rows = without_clashes(docs.withColumn("held_flag_", F.coalesce(held, F.lit(False))), id_col, text_col, "held_flag_").toDF("id", "text", "held")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = 1 << max(0, (size // shard_bytes)).bit_length()
-    bits = min(64, 16 + max(size, 1 << 16).bit_length())
+    bits = min(64, 14 + max(size, 1 << 16).bit_length())
     total, distinct = training_totals(rows, shards)
     answers = shard_totals(block_rows(rows, bits, shards, block_bytes))
 
@@ -286,7 +287,9 @@ def lm_scores(docs: DataFrame, held: object, id_col: str = "doc_id", text_col: s
             base = np.log10((known + 1.0) / (total + distinct + 1.0))
             n = table.num_rows
             sums = [np.add.reduceat(x, ptr[:-1]) for x in (base, logs)]
-            yield pa.record_batch([*[table.column(c).combine_chunks() if table.column(c).num_chunks != 1 else table.column(c).chunk(0) for c in ("id", "held")], pa.array(np.diff(ptr)), pa.array(segment_sums(known > 0, ptr)), pa.array(np.full(n, total)), *map(pa.array, sums)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            given = [pa.concat_arrays(table.column(c).chunks) for c in ("id", "held")]
+            counted = [np.diff(ptr), segment_sums(known > 0, ptr), np.full(n, total), *sums]
+            yield pa.record_batch([*given, *map(pa.array, counted)], names=_SCORES)
 
     kind = docs.schema[id_col].dataType.simpleString()
     dealt = answers.repartition("block").sortWithinPartitions("block", "route")

@@ -96,7 +96,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE, end_id:
             rank = np.empty(len(length), np.int64)
             rank[order] = np.arange(len(length)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(seen, sizes)
             seen += sizes
-            yield pa.record_batch([part.column(0).take(pa.array(owner)), *map(pa.array, (piece.astype(np.int32), start, length, crc32s(ids, at, at + length), np.full(len(owner), part_no), rank))], names=["id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+            made = (piece.astype(np.int32), start, length, crc32s(ids, at, at + length), np.full(len(owner), part_no), rank)
+            yield pa.record_batch([part.column(0).take(pa.array(owner)), *map(pa.array, made)], names=["id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     made = without_clashes(docs, id_col, text_col).toDF("id", "text").mapInArrow(pieces, f"id {kind}, piece int, start long, length long, ids_crc32 long, part long, rank long")

@@ -217,6 +217,12 @@ def format_line(record: Iterable, dialect: Dialect, policy: str = "necessary") -
     return dialect.delimiter.join(out) + dialect.eol
 
 
+def _lines(spark: SparkSession, path: str, *more: Column) -> DataFrame:
+    """(file, block, line) of all lines of the documents, split at line feeds; more: further columns."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return spark.read.format("text").option("lineSep", "\n").load(path).select(*place, F.col("value").cast("binary").alias("line"), *more)
+
+
 def _plain_path(path: str) -> str:
     return re.sub(r"^file:/*", "/", path)
 
@@ -262,7 +268,7 @@ def split_records(spark: SparkSession, path: str, dialect: Dialect) -> DataFrame
     each block parses its own records; those that lie across blocks are parsed from their parts.
     A field that is still open at the end of a document loses the document's last line feed.
     """
-    lines = spark.read.format("text").option("lineSep", "\n").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
+    lines = _lines(spark, path)
     scanner = LineScanner(dialect)
 
     def text_of(line: bytes, first: bool) -> str:
@@ -273,7 +279,8 @@ def split_records(spark: SparkSession, path: str, dialect: Dialect) -> DataFrame
 
         def row(x):
             # for a block that begins outside of a field, then for one that begins inside
-            return pa.record_batch([pa.array([x["file"]]), pa.array([x["block"]]), pa.array([x["mark"]], pa.string()), *[pa.array([x[k][i]], t) for i in (0, 1) for k, t in (("n", pa.int64()), ("open", pa.bool_()), ("head", pa.string()), ("tail", pa.string()))]], names=_SURVEY)
+            found = [pa.array([x[k][i]], kind) for i in (0, 1) for k, kind in _FOUND.items()]
+            return pa.record_batch([pa.array([x["file"]]), pa.array([x["block"]]), pa.array([x["mark"]], pa.string()), *found], names=_SURVEY)
 
         for file, block, goes_on, some in _blocks(batches):
             if not goes_on:
@@ -344,8 +351,14 @@ def split_records(spark: SparkSession, path: str, dialect: Dialect) -> DataFrame
     table = spark.createDataFrame([(f, b, o, n) for (f, b), (o, n) in begins.items()] or [("", -1, False, 0)], "file string, block long, began boolean, base long")
     parts = surveyed.join(F.broadcast(table), ["file", "block"])
     head = F.when(F.col("began"), F.struct(F.col("base").alias("record"), F.col("head1").alias("text")))
-    tail_of = lambda k: F.when(F.col(f"open{k}") & (F.lit(k == 0) | (F.col(f"n{k}") > 0)), F.struct((F.col("base") + F.col(f"n{k}")).alias("record"), F.col(f"tail{k}").alias("text")))
-    pieces = parts.select("file", "block", F.explode(F.array(head, F.when(F.col("began"), tail_of(1)).otherwise(tail_of(0)))).alias("x")).where("x is not null")
+
+    def tail_of(k: int) -> Column:
+        # a block that lies within a field as a whole is all head
+        begins_here = F.col(f"open{k}") & (F.lit(k == 0) | (F.col(f"n{k}") > 0))
+        return F.when(begins_here, F.struct((F.col("base") + F.col(f"n{k}")).alias("record"), F.col(f"tail{k}").alias("text")))
+
+    tail = F.when(F.col("began"), tail_of(1)).otherwise(tail_of(0))
+    pieces = parts.select("file", "block", F.explode(F.array(head, tail)).alias("x")).where("x is not null")
     joined = pieces.groupBy("file", "x.record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "x.text"))), lambda x: x["text"]), "").alias("text"))
 
     def parse_parts(batches):
@@ -356,7 +369,8 @@ def split_records(spark: SparkSession, path: str, dialect: Dialect) -> DataFrame
     return whole.unionByName(joined.select("record", "text").mapInArrow(parse_parts, f"{OFFSET} long, {FIELDS} array<string>"))
 
 
-_SURVEY = ["file", "block", "mark", *[f"{k}{i}" for i in (0, 1) for k in ("n", "open", "head", "tail")]]
+_FOUND = {"n": pa.int64(), "open": pa.bool_(), "head": pa.string(), "tail": pa.string()}
+_SURVEY = ["file", "block", "mark", *[f"{k}{i}" for i in (0, 1) for k in _FOUND]]
 
 
 def _finished(now: dict) -> dict:
@@ -506,11 +520,12 @@ class Reader:
 
         return self._bytes().mapInArrow(task, f"{OFFSET} long, {FIELDS} array<string>")
 
-    def header(self) -> list[str]:
+    def header(self, raw: DataFrame | None = None) -> list[str]:
+        """The names at the header's offset; raw: the raw records, if they are known."""
         k = self.dialect.header_offset
         if k is None:
             return []
-        rows = self.raw_records().where(F.col(OFFSET) == k).limit(1).collect()
+        rows = (self.raw_records() if raw is None else raw).where(F.col(OFFSET) == k).limit(1).collect()
         if not rows or rows[0][FIELDS] in ([None], []):
             raise SyntaxProblem(f"the header record at offset {k} is missing or empty")
         return check_header([x if x is not None else "" for x in rows[0][FIELDS]])
@@ -520,11 +535,11 @@ class Reader:
         if not self.exact:
             return self._fast(header)
         raw = self.raw_records()
+        own = self.header(raw)
         if self.dialect.skip_empty:
             raw = raw.where(~((F.size(FIELDS) == 1) & F.col(FIELDS)[0].isNull()))
         else:
             raw = raw.withColumn(FIELDS, F.when((F.size(FIELDS) == 1) & F.col(FIELDS)[0].isNull(), F.array().cast("array<string>")).otherwise(F.col(FIELDS)))
-        own = self.header()
         if self.dialect.header_offset is not None:
             raw = raw.where(F.col(OFFSET) != self.dialect.header_offset)
         table = Table(raw, headerless=True)
@@ -562,7 +577,7 @@ class Reader:
             yield self.content
             return
         sizes = {r["path"]: r["length"] for r in self.spark.read.format("binaryFile").load(self.path).select("path", "length").collect()}
-        lines = self.spark.read.format("text").option("lineSep", "\n").load(self.path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("line"))
+        lines = _lines(self.spark, self.path, F.monotonically_increasing_id().alias("at"))
         left = {_plain_path(k): n for k, n in sizes.items()}
         for r in lines.orderBy("file", "block", "at").toLocalIterator():
             # only the last line may have no line feed, which the length tells
@@ -661,7 +676,7 @@ def write_csv(table: Table, path: str, dialect: Dialect | None = None, policy: s
             df = df.sparkSession.createDataFrame([(lead,)], "value binary").select(F.col("value").cast("string").alias("value"))
         else:
             df = df.mapInArrow(task, "value binary").select(F.col("value").cast("string").alias("value"))  # the bytes as they are
-    df.write.option("lineSep", d.eol if encoding.upper().startswith(("UTF-8", "UTF8", "ISO", "WINDOWS", "US")) else _bytes_text(d.eol.encode(encoding))).text(path)
+    df.write.option("lineSep", _bytes_text(d.eol.encode(encoding))).text(path)
 
 
 def _bytes_text(data: bytes) -> str:

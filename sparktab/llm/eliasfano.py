@@ -7,7 +7,6 @@ import struct
 
 import numpy as np
 
-_ONE = np.uint64(1)
 #: Queries of more than one for so many values are answered together.
 DENSE = 16
 _BYTE_ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
@@ -18,9 +17,9 @@ for _b in range(256):
 
 
 def _set_bits(n: int, at: np.ndarray) -> np.ndarray:
-    words = np.zeros((n + 63) // 64 + 1, np.uint64)
-    np.bitwise_or.at(words, at >> 6, _ONE << (at & 63).astype(np.uint64))
-    return words
+    bits = np.zeros(64 * ((n + 63) // 64 + 1), bool)
+    bits[at] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
 class EliasFano:
@@ -40,10 +39,11 @@ class EliasFano:
         low = np.zeros((n * width + 63) // 64 + 2, np.uint64)
         if width:
             bits, part = np.arange(n) * width, values & np.uint64((1 << width) - 1)
-            shift = (bits & 63).astype(np.uint64)
-            np.bitwise_or.at(low, bits >> 6, part << shift)
-            over = np.flatnonzero((bits & 63) + width > 64)
-            np.bitwise_or.at(low, (bits[over] >> 6) + 1, part[over] >> (np.uint64(64) - shift[over]))
+            shift, word = (bits & 63).astype(np.uint64), bits >> 6
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            low[word[first]] = np.bitwise_or.reduceat(part << shift, first)
+            over = np.flatnonzero((bits & 63) + width > 64)  # one for a word at most
+            low[word[over] + 1] |= part[over] >> (np.uint64(64) - shift[over])
         tops = (values >> np.uint64(width)).astype(np.int64)
         size = n + (int(tops[-1]) if n else 0) + 2
         high = _set_bits(size, tops + np.arange(n))
@@ -196,7 +196,8 @@ class Trie:
         if not self.keys.n:
             return np.full(len(hashes), -1)
         safe = np.minimum(at, self.keys.n - 1)
-        return np.where((at < self.keys.n) & (self.keys.get(safe) == hashes), at, -1)
+        found = self.keys.decode()[safe] if DENSE * len(hashes) > self.keys.n else self.keys.get(safe)
+        return np.where((at < self.keys.n) & (found == hashes), at, -1)
 
     def value(self, name: str, at: np.ndarray) -> np.ndarray:
         codes = self.a[name]

@@ -412,6 +412,52 @@ def test_repeats_do_not_depend_on_partitions(spark, small):
         wanted = got
 
 
+def brute_repeats(rows, width=46, need=37, step=substring.SHIFT):
+    """Words of each document that repeat an earlier one, from all pairs and all places."""
+    names, docs, found = {}, [], {}
+    for i, text in rows:
+        words = WORD.findall(lower(text))
+        docs.append((i, np.array([names.setdefault(tuple(words[k : k + 5]), len(names)) for k in range(len(words) - 4)], np.int64)))
+    for (i, own), (j, other) in itertools.product(docs, docs):
+        if i is None or j is None or j >= i or np.isin(own, other).sum() < need:
+            continue
+        at, there = np.nonzero(own[:, None] == other[None, :])
+        diagonal = (there - at) // step
+        for k in range(diagonal.min() - 1, diagonal.max() + 2):
+            hit = np.zeros(len(own), bool)
+            hit[at[abs(diagonal - k) <= 1]] = True
+            for a in range(len(own) - width + 1):
+                if hit[a : a + width].sum() >= need:
+                    inside = a + np.flatnonzero(hit[a : a + width])
+                    found.setdefault(i, set()).update(range(inside[0], inside[-1] + 5))
+    return found
+
+
+def test_repeats_are_those_of_brute_force(spark):
+    r, texts = random.Random(3), []
+    fresh = lambda n: [r.choice(VOCAB) + r.choice(VOCAB) for _ in range(n)]
+    edited = lambda words, rate: [x for w in words for x in ([w], [], fresh(1), [w, *fresh(1)])[r.randint(1, 3) if r.random() < rate else 0]]
+    lines, base = [fresh(9) for _ in range(10)], fresh(120)
+    mixed = lambda n: [w for _ in range(n) for w in r.choice(lines)]
+    texts += [fresh(20) + edited(base, 0.04) + fresh(20) for _ in range(30)]
+    texts += [fresh(60) + mixed(2) + fresh(40) for _ in range(30)]
+    # passages of lines that many documents have, each in an order of its own, and near copies of some
+    texts += [mixed(8) for _ in range(40)]
+    for _ in range(15):
+        passage = mixed(7)
+        texts += [fresh(30) + passage + fresh(30), fresh(50) + edited(passage, 0.02) + fresh(10)]
+    texts += [(list(x) * n)[: n + 7] for n in (30, 50, 200) for x in ("x", "abc", "qqr")]
+    texts += [[r.choice("ab") for _ in range(r.randint(30, 80))] for _ in range(20)]
+    texts += [short := fresh(42), short + fresh(60), fresh(4) + short + fresh(4)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)] + [(None, "x " * 60), (5, " ".join(base)), (7, None)]
+    r.shuffle(rows)
+    got = {}
+    for x in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(x.doc_id, set()).update(range(x.start_word, x.end_word))
+        assert x.first_id < x.doc_id
+    assert got == brute_repeats(rows)
+
+
 def test_lines_in_another_order_are_no_passage(spark):
     lines = [prose(9, 700 + k) for k in range(12)]
     texts = ["\n".join(lines), "\n".join(lines[::-1]), "\n".join([lines[0]] * 12), prose(60, 800) + "\n" + lines[0]]

@@ -557,6 +557,35 @@ def test_passage_that_many_documents_share(spark):
     assert {r.id for r in met} == set(range(40)) and {r["first"] for r in met} == {0}
 
 
+def test_copies_are_not_compared(spark):
+    long, short = prose(80, 31), prose(49, 32)
+    rows = [(i, long) for i in range(40, 240)] + [(7, long + " more"), (40, long), (41, short), (300, short), (300, long), (None, long), (8, None)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    kept, copies = substring._without_copies(df, substring.PASSAGE)
+    assert sorted(map(tuple, kept.collect())) == sorted([(7, long + " more"), (40, long), (40, long), (41, short)])
+    assert sorted(map(tuple, copies.collect())) == [(i, 0, 80, 80, 40, 1.0) for i in [*range(41, 240), 300]]
+    got = substring.repeated_passages(df, "id").collect()
+    assert sorted((r.id, r.first_id, r.start_word, r.end_word) for r in got) == sorted([(40, 7, 0, 80)] * 2 + [(i, 40, 0, 80) for i in [*range(41, 240), 300]])
+
+
+def test_documents_of_a_shingle_are_counted_once(spark):
+    rows = [(1, k, 7, False) for k in range(50)] + [(2, 3, 7, True), (2, 9, 8, False)]
+    got = substring._met(spark.createDataFrame(rows, "id long, at int, key long, loose boolean").repartition(4)).collect()
+    assert {(r.key, r.docs, r.least, r.of) for r in got} == {(7, 2, 1, 2)} and len(got) == 51
+
+
+def test_passages_with_windows_of_few_are_not_tried_again(spark):
+    # a line of many documents, and words around it that two have: these two have met
+    line = prose(30, 41)
+    rows = [(i, prose(60, 600 + i) + " " + line + " " + prose(60, 700 + i)) for i in range(30)]
+    rows += [(30 + i, prose(60, 800 + i) + " " + prose(12, 42) + " " + line + " " + prose(60, 900 + i)) for i in range(2)]
+    pairs = substring.candidate_pairs(substring.matched_windows(spark.createDataFrame(rows, "id long, text string"))).collect()
+    last = [r for r in pairs if r.id == 31]
+    alone = [r for r in pairs if r.id == 29]
+    assert [r["first"] for r in last if r["first"] is not None and r["first"] >= 30] == [30]
+    assert [r.open for r in last if r.open] and sum(x.size for r in last for x in r.open or []) <= sum(x.size for r in alone for x in r.open or [])
+
+
 def test_decontamination_keeps_clean_documents_and_columns(docs, bench):
     out = decontam.decontaminate(docs, bench)
     assert out.columns == docs.columns

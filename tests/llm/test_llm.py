@@ -586,6 +586,57 @@ def test_passages_with_windows_of_few_are_not_tried_again(spark):
     assert [r.open for r in last if r.open] and sum(x.size for r in last for x in r.open or []) <= sum(x.size for r in alone for x in r.open or [])
 
 
+def test_pairs_are_verified_together_as_one_by_one(monkeypatch):
+    r = random.Random(21)
+    for equal in (50, 1 << 18):
+        monkeypatch.setattr(substring, "EQUAL", equal)
+        monkeypatch.setattr(substring, "MATCHES", 40 * equal)
+        owns, pairs = [], []
+        for kind in (2, 30, 1 << 31) * 8:
+            fresh = lambda n, kind=kind: [r.randrange(kind) for _ in range(n)]
+            owns.append(np.array(fresh(r.choice([30, 46, 200])), np.int32))
+            for _ in range(3):
+                a = r.randrange(len(owns[-1]))
+                part = owns[-1][a : a + 80].tolist()
+                part[10:15] = fresh(r.randint(0, 9))
+                text = fresh(r.randint(0, 60)) + part + fresh(40)
+                cut = r.randint(0, len(text))
+                ranges = [(0, cut // 2), (cut, len(text) - cut)]
+                pairs.append((len(owns) - 1, ranges, np.array([x for b, n in ranges for x in text[b : b + n]], np.int32)))
+        got = {k: sorted(covers) for k, covers, _ in substring.pair_hits(owns, pairs, 46, 5, 0.8)}
+        wanted = {}
+        for k, (i, ranges, flat) in enumerate(pairs):
+            one = owns[i].astype(np.int64)
+            lines = substring._lines(one, ranges, flat.astype(np.int64), 46, 37) if len(one) >= 46 and len(flat) else []
+            if covers := substring._line_hits(one, lines, ranges, flat, 46, 5, 0.8)[0]:
+                wanted[k] = sorted(covers)
+        assert {k: set(v) for k, v in got.items()} == {k: set(v) for k, v in wanted.items()} and len(wanted) > 10
+
+
+def test_rows_of_a_shard_come_back_as_they_were():
+    r = np.random.default_rng(4)
+    ids = pa.array([f"d{k}" for k in r.integers(0, 50, 900)])
+    key, at, flag = r.integers(-(2**62), 2**62, 900), r.integers(0, 9, 900).astype(np.int32), r.integers(0, 2, 900).astype(np.int8)
+    shard = r.integers(0, 7, 900).astype(np.int32)
+    parts = [substring._sent(ids.slice(a, 300), shard[a : a + 300], key[a : a + 300], at[a : a + 300], flag[a : a + 300]) for a in (0, 300, 600)]
+    sent = pa.Table.from_batches(parts).sort_by("shard").combine_chunks().to_batches()
+    got = [list(zip(x[0].to_pylist(), *(y.tolist() for y in x[2:]), strict=True)) for x in substring._received(sent, np.int64, np.int32, np.int8)]
+    whole = list(zip(ids.to_pylist(), key.tolist(), at.tolist(), flag.tolist(), strict=True))
+    assert [sorted(x) for x in got] == [sorted(x for x, k in zip(whole, shard, strict=True) if k == n) for n in range(7)]
+    names, rank = next(substring._received(sent, np.int64, np.int32, np.int8))[:2]
+    assert [x for _, x in sorted(zip(rank.tolist(), names.to_pylist(), strict=True))] == sorted(names.to_pylist())
+
+
+def test_rounds_want_the_shingles_they_wanted_before(spark):
+    # words that a round found do not change which shingles stand for a passage
+    open_ = spark.createDataFrame([(9, [(0, 1)], False)], f"id long, open {substring._RANGES}, odd boolean")
+    shared = spark.createDataFrame([(9, k, k, 30 - (k > 40), False) for k in range(46)], "id long, at int, key long, docs long, loose boolean")
+    kind = "id long, start_word long, n_words long, alone boolean"
+    none, some = (spark.createDataFrame(x, kind) for x in ([], [(9, 2, 48, True)]))
+    first, later = (sorted(x.key for x in substring._still_open(open_, x, shared, 50, 5, 0.8, none).collect()) for x in (none, some))
+    assert first == later and len(first) == 10
+
+
 def test_decontamination_keeps_clean_documents_and_columns(docs, bench):
     out = decontam.decontaminate(docs, bench)
     assert out.columns == docs.columns
